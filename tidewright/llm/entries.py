@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, langid, packing, quality, secret_scan, token_counts, toxicity
+from tidewright.llm import bpe, langid, neardup, packing, quality, secret_scan, token_counts, toxicity
 from tidewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each callable takes (spark, sf_dir)."""
-    found = [op1_toxicity, op3_secrets, op6_language, op7_packing, op8_quality, op9_bpe, op10_token_counts]
+    found = [op1_toxicity, op3_secrets, op5_near_duplicates, op6_language, op7_packing, op8_quality, op9_bpe, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
