@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, langid, neardup, packing, quality, secret_scan, token_counts, toxicity
+from tidewright.llm import ann, bpe, fingerprints, langid, neardup, packing, quality, secret_scan, token_counts, toxicity
 from tidewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -46,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each callable takes (spark, sf_dir)."""
-    found = [op1_toxicity, op3_secrets, op5_near_duplicates, op6_language, op7_packing, op8_quality, op9_bpe, op10_token_counts]
+    found = [op1_toxicity, op2_fingerprints, op3_secrets, op4_nearest, op5_near_duplicates, op6_language, op7_packing, op8_quality, op9_bpe, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
