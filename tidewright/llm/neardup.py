@@ -144,11 +144,15 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb"), setup, "a long, b long")
 
 
+def _hinted(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     """The pairs with whole * intersection >= part * union on the full shingle sets."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    ids = _hinted(materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def setup() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
@@ -267,3 +271,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     out = placed.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """``docs`` with all its columns, and of each group of near duplicates only the document with the smallest id."""
+    found = near_duplicates(docs, width, part, whole)
+    dropped = _hinted(materialise(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
