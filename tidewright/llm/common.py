@@ -78,19 +78,22 @@ def text_columns(df: DataFrame, fields: str, setup: Callable[[], Callable[[list[
     """
     new = [x.strip().split()[0] for x in fields.replace("<", " <").split(", ")]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select("text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)])
-    names = [f"k{i}" for i in range(len(kept))] + new
-    schema = ", ".join([*(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(kept))), fields])
+    others = [c for c in kept if c != "text"]  # the text itself is sent once
+    source = df.select("text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)])
+    sent = ["text"] * ("text" in kept) + [f"k{i}" for i in range(len(others))]
+    names = sent + new
+    schema = ", ".join([*(f"{c} {source.schema[c].dataType.simpleString()}" for c in sent), fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = setup()
         for batch in batches:
             for start, texts in text_slices(batch, "text", max_bytes):
-                old = [batch.column(1 + i).slice(start, len(texts)) for i in range(len(kept))]
+                old = [batch.column(c).slice(start, len(texts)) for c in sent]
                 yield pa.RecordBatch.from_arrays([*old, *each(texts)], names)
 
     out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *new)
+    back = dict(zip(others, sent[-len(others) :] if others else [], strict=True)) | {"text": "text"}
+    return out.select(*[F.col(back[c]).alias(c) for c in kept], *new)
 
 
 def map_batches(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
