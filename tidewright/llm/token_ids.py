@@ -1,44 +1,73 @@
 """Token ids of whole texts by the tokenizers library, for the operators that only need ids.
 
-Texts are cut at ASCII white space, which no pre-token of the vocabulary crosses; the distinct chunks
-of a slice that are not in the worker's bounded cache go to the library in one call.
+Texts are cut at ASCII white space, which no pre-token of the vocabulary crosses. A chunk that is a
+word of Latin-1 letters with punctuation behind it is cut once more, as the vocabulary's pre-token
+pattern does, and the word counts in lower case; so "Word" and "word," share one entry. What a
+worker's bounded caches don't have goes to the library in one call for a slice of texts.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 
 from tidewright.llm.bpe import DEFAULT_VOCABULARY, little_endian, vocabulary_path
 
-#: Distinct chunks a worker keeps; about 200 bytes each.
-CACHE_CHUNKS = 600_000
+#: Distinct chunks, and distinct words, that a worker keeps; about 200 bytes each.
+CACHE_CHUNKS = 500_000
+CACHE_WORDS = 500_000
+#: A plain word and what follows it: letters that composition leaves alone, no apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?%&$*#;:]*)").fullmatch
 
 
-class ChunkIds(dict):
-    """Cache from a chunk's bytes to its ids as little-endian unsigned 32-bit bytes."""
+class ChunkIds:
+    """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
-        super().__init__()
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache_chunks = cache_chunks
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _ask(self, words: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        self.words.update(zip(words, [little_endian(e.ids) for e in encoded], strict=True))
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the cache doesn't have."""
+        parts = []
+        for raw in missing:
+            text = raw.decode("utf-8", "replace")
+            plain = _PLAIN(text)
+            parts.append((plain[1].lower(), plain[2]) if plain else (text, ""))
+        wanted = {w for pair in parts for w in pair}
+        if len(self.words) + len(wanted) > CACHE_WORDS:
+            self.words = {"": b""}
+        self._ask([w for w in wanted if w not in self.words])
+        words = self.words
+        return {raw: words[a] + words[b] for raw, (a, b) in zip(missing, parts, strict=True)}
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each whole UTF-8 text, as bytes."""
-        chunks = [text.split() for text in texts]
-        wanted = set().union(*chunks)
-        missing = list(wanted - self.keys())
-        if len(self) + len(missing) > self.cache_chunks:
-            self.clear()
-            missing = list(wanted)
-        encoded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)
-        self.update(zip(missing, (little_endian(e.ids) for e in encoded), strict=True))
-        get = self.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks = {}
+        get = self.chunks.get
+        split = [text.split() for text in texts]
+        found = [list(map(get, chunks)) for chunks in split]
+        gaps = [[i for i, x in enumerate(own) if x is None] for own in found]
+        missing = list(dict.fromkeys(chunks[i] for chunks, at in zip(split, gaps, strict=True) for i in at))
+        if missing:
+            learnt = self._learn(missing)
+            for chunks, own, at in zip(split, found, gaps, strict=True):
+                for i in at:
+                    own[i] = learnt[chunks[i]]
+            self.chunks.update(learnt)
+        return [b"".join(own) for own in found]
 
 
 _LOADED: dict[str, ChunkIds] = {}
@@ -48,4 +77,5 @@ def loaded(name: str = DEFAULT_VOCABULARY) -> ChunkIds:
     """The cache of this Python worker: made once, kept while the worker is reused."""
     if name not in _LOADED:
         _LOADED[name] = ChunkIds(vocabulary_path(name))
+        gc.disable()  # nothing here is cyclic, and each collection would walk all lists of chunks
     return _LOADED[name]
