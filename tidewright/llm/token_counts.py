@@ -79,7 +79,12 @@ def write_token_stream(docs: DataFrame, path: str, vocabulary: str = DEFAULT_VOC
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks (file, block, payload) of streams written by :func:`write_token_stream`."""
-    return spark.read.schema("file string, block long, payload binary").parquet(f"{path}/kind=ids")
+    return _stream(spark, path, "ids").select("file", "block", "payload")
+
+
+def _stream(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One of the two folders; the partition filter prunes the other, and an empty table has neither."""
+    return spark.read.schema("file string, block long, payload binary, doc_ids array<long>, kind string").parquet(path).where(F.col("kind") == kind)
 
 
 def read_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -152,7 +157,6 @@ def document_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, block
     path = shared_dir(spark, "token-stream")
     write_token_stream(docs, path, vocabulary, block_ids)
     counted = separator_scan(read_blocks(spark, path))
-    order = spark.read.schema("file string, block long, doc_ids array<long>").parquet(f"{path}/kind=order")
-    order = order.select("file", "block", F.posexplode("doc_ids").alias("k", "doc_id"))
+    order = _stream(spark, path, "order").select("file", "block", F.posexplode("doc_ids").alias("k", "doc_id"))
     order = order.select("file", (F.col("block") + F.col("k")).alias("ordinal"), "doc_id")
     return order.join(counted, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -109,6 +109,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, settings: Se
         g[-1] = slope.sum()
         return g
 
+    l1 = settings.l1 * np.sqrt(settings.positives / n_p)  # few examples: only strong words keep a weight
     for step in range(1, settings.steps + 1):
         zp, zu = margin(pc, pr, n_p), margin(uc, ur, n_u)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -60, 60))), 1 / (1 + np.exp(-np.clip(zu, -60, 60)))
@@ -121,7 +122,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, settings: Se
         scale = np.sqrt(v / (1 - 0.999**step)) + 1e-8
         w -= rate * m / (1 - 0.9**step) / scale
         # soft threshold in the same metric as the step
-        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - rate * settings.l1 / scale[:-1])
+        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - rate * l1 / scale[:-1])
     return Model({word: float(x) for word, x in zip(vocabulary, w[:-1], strict=True) if x}, float(w[-1]))
 
 
