@@ -5,17 +5,18 @@ a bucket keeps its largest leading-zero count and, among those, the smallest man
 one register. Registers of empty buckets are borrowed from others by fixed probes (for banding only).
 Bands of registers are keys; documents that share a key are candidates. A pair's similarity is
 estimated from its registers, corrected for registers that agree by chance, and a pair that is far
-below the threshold (six standard errors) is dropped. The rest is confirmed on the full shingle sets.
+below the threshold (five standard errors) is dropped. The rest is confirmed on the full shingle sets.
 
 Groups of copies stay cheap without losing links:
 
 1. Documents with equal shingle sets are one class; only its smallest id takes part further.
-2. In each bucket all members are paired with the smallest one only, as many pairs as rows. Links
-   found so give components.
+2. In each bucket all members are paired with one of them only, as many pairs as rows: the one whose
+   buckets have most members over all bands, which in a group of edited copies is their original.
+   Links found so give components.
 3. Buckets that still hold several components go on: members are dealt to blocks of bounded size, and
    each pair of blocks is compared in one task on registers, only across components; only pairs whose
-   estimate passes are sent on. Thus every pair of different components that shares a bucket is
-   examined, and there is no limit on partners.
+   estimate passes are sent on, each from the first band that both share. Thus every pair of different
+   components that shares a bucket is examined, and there is no limit on partners.
 
 With 32 bands of 4 registers a pair at the threshold 0.8 shares no bucket with a chance of about
 5e-8. Intermediate tables are written to the shared folder.
@@ -97,12 +98,12 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 
 
 def hopeful(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of register rows may reach ``least``: collision-corrected estimate plus six standard errors."""
+    """Which pairs of register rows may reach ``least``: collision-corrected estimate plus five standard errors."""
     seen = ((a != EMPTY) | (b != EMPTY)).sum(axis=-1)
     both = ((a != EMPTY) & (b != EMPTY)).sum(axis=-1)
     same = ((a == b) & (a != EMPTY)).sum(axis=-1)
     estimate = (same - CHANCE * both) / np.maximum(seen, 1)
-    return estimate + 6 * np.sqrt(least * (1 - least) / np.maximum(seen, 1)) >= least
+    return estimate + 5 * np.sqrt(least * (1 - least) / np.maximum(seen, 1)) >= least
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -198,7 +199,7 @@ def _unsettled_pairs(members: DataFrame, least: float) -> DataFrame:
         own, lo, hi = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "lo", "hi"))
         rep, label, pivot = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "pivot"))
         regs = _matrix(rows.column(rows.schema.get_field_index("registers")))
-        out = []
+        bands, band, out = band_keys(regs), rows.column("band")[0].as_py(), []
         first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         for i in first:
             j = second[(label[second] != label[i]) & (rep[second] != pivot[i]) & (rep[i] != pivot[i])]
@@ -206,6 +207,8 @@ def _unsettled_pairs(members: DataFrame, least: float) -> DataFrame:
                 j = j[rep[j] > rep[i]]
             if j.size:
                 j = j[hopeful(regs[i][None, :], regs[j], least)]
+                shared = bands[i][None, :] == bands[j]
+                j = j[bands[i][shared.argmax(axis=1)] == band]
                 out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
         return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 2
 
@@ -253,9 +256,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     sketches = reps.select("rep", "registers")
     rows = reps.select(F.explode("bands").alias("band"), "rep")
     # only buckets with several members go on
-    buckets = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n_members")).where("n_members > 1")
-    rows = materialise(rows.join(buckets, "band"), "bands")
-    star = rows.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n_members")).where("n_members > 1")
+    rows = materialise(rows.join(sizes, "band"), "bands")
+    company = rows.groupBy("rep").agg(F.sum("n_members").alias("company"))
+    pivots = rows.select("band", "rep").join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct(F.col("company"), (-F.col("rep")).alias("r"))).alias("pivot"))
+    rows = materialise(rows.join(pivots, "band"), "pivots")
+    star = rows.where("rep != pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     star = materialise(_estimated(star, sketches, least), "star")
     links = materialise(_confirmed(star, docs, width, part, whole), "links")
     labels = components(links)
