@@ -71,11 +71,29 @@ class Model:
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
-def _rows(sets: list[set[str]], slot: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat (feature, row) index arrays of the indicators."""
-    cols = [np.fromiter((slot[w] for w in s if w in slot), np.int64) for s in sets]
-    sizes = np.array([c.size for c in cols], np.int64)
-    return (np.concatenate(cols) if cols else np.zeros(0, np.int64)), np.repeat(np.arange(len(sets)), sizes)
+def frequent_features(texts: list[str], least: int) -> list[str]:
+    """Features of at least ``least`` texts, sorted. A first pass counts hashes, so rare features are never held."""
+    counts = np.zeros(1 << 22, np.int32)
+    mask = counts.size - 1
+    for t in texts:
+        np.add.at(counts, np.fromiter((hash(w) & mask for w in features_of(t)), np.int64), 1)
+    enough = (counts >= least).tobytes()
+    exact: Counter = Counter()
+    for t in texts:
+        exact.update(w for w in features_of(t) if enough[hash(w) & mask])
+    return sorted(w for w, c in exact.items() if c >= least)
+
+
+def _rows(texts: list[str], slot: dict[str, int]) -> list[np.ndarray]:
+    """The known features of each text as sorted numbers."""
+    return [np.array(sorted(slot[w] for w in slot.keys() & features_of(t)), np.int32) for t in texts]
+
+
+def _flat(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat (feature, row) arrays of the features that have a place (not -1)."""
+    cols = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), [r.size for r in rows])
+    return cols[cols >= 0], owner[cols >= 0]
 
 
 def train(positive: list[str], unlabelled: list[str], prior: float, settings: Settings = Settings()) -> Model:
@@ -83,17 +101,15 @@ def train(positive: list[str], unlabelled: list[str], prior: float, settings: Se
     if not positive or not unlabelled or prior <= 0:
         return Model({}, -1000.0)
     least = min(settings.least_documents, 1 + len(positive) // 4)
-    seen: Counter | set = Counter()
-    for t in positive:
-        seen.update(features_of(t))
-    seen = {w for w, c in seen.items() if c >= least}
-    pos = [features_of(t) & seen for t in positive]  # computed again rather than held whole
-    unl = [features_of(t) & seen for t in unlabelled]
-    in_p, in_u = Counter(w for s in pos for w in s), Counter(w for s in unl for w in s)
-    lift = settings.least_lift * len(pos) / len(unl)
-    vocabulary = sorted(w for w in seen if in_p[w] > lift * in_u[w])
-    slot = {w: k for k, w in enumerate(vocabulary)}
-    (pc, pr), (uc, ur) = _rows(pos, slot), _rows(unl, slot)
+    names = frequent_features(positive, least)
+    slot = {w: k for k, w in enumerate(names)}
+    pos, unl = _rows(positive, slot), _rows(unlabelled, slot)
+    in_p, in_u = (np.bincount(np.concatenate(r), minlength=len(names)) for r in (pos, unl))
+    chosen = np.flatnonzero(in_p > settings.least_lift * len(pos) / len(unl) * in_u)
+    vocabulary = [names[k] for k in chosen]
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(chosen.size)
+    (pc, pr), (uc, ur) = _flat(pos, place), _flat(unl, place)
     n_p, n_u, d = len(pos), len(unl), len(vocabulary)
     prior = min(prior, 0.9)
     w, b = np.zeros(d + 1), np.log(prior / (1 - prior))
