@@ -14,9 +14,10 @@ Groups of copies stay cheap without losing links:
    buckets have most members over all bands, which in a group of edited copies is their original.
    Links found so give components.
 3. Buckets that still hold several components go on: members are dealt to blocks of bounded size, and
-   each pair of blocks is compared in one task on registers, only across components; only pairs whose
-   estimate passes are sent on, each from the first band that both share. Thus every pair of different
-   components that shares a bucket is examined, and there is no limit on partners.
+   each pair of blocks is compared in one task, only across components, first on registers and then,
+   where an estimate passes, on full sets; a pair is compared in the first band that both share. Thus
+   every pair of different components that shares a bucket is examined, and there is no limit on
+   partners, but only links are sent on, never pairs.
 
 With 32 bands of 4 registers a pair at the threshold 0.8 shares no bucket with a chance of about
 5e-8. Intermediate tables are written to the shared folder.
@@ -184,53 +185,26 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), setup, "a long, b long")
 
 
-def _unsettled_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs across components within buckets that hold several, by blocks; ``members``: band, rep, label, pivot, registers, n_members."""
-    blocks = F.ceil(F.col("n_members") / BLOCK)
-    placed = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks)})
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("band", "rep", "label", "pivot", "registers", "own", others)
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "pivot", "registers")
-    spark = members.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
-
-    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        own, lo, hi = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "lo", "hi"))
-        rep, label, pivot = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "pivot"))
-        regs = _matrix(rows.column(rows.schema.get_field_index("registers")))
-        bands, band, out = band_keys(regs), rows.column("band")[0].as_py(), []
-        first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        for i in first:
-            j = second[(label[second] != label[i]) & (rep[second] != pivot[i]) & (rep[i] != pivot[i])]
-            if lo[0] == hi[0]:
-                j = j[rep[j] > rep[i]]
-            if j.size:
-                j = j[hopeful(regs[i][None, :], regs[j], least)]
-                shared = bands[i][None, :] == bands[j]
-                j = j[bands[i][shared.argmax(axis=1)] == band]
-                out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 2
+def _by_group(df: DataFrame, keys: tuple[str, ...], each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``each`` of the rows of every group, one group in memory at a time; groups are bounded by the caller."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def keys(b: pa.RecordBatch) -> np.ndarray:
-            return np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "lo", "hi")], 1)
-
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                table = pa.Table.from_batches(held).combine_chunks()
-                a, b = compare(table.to_batches()[0])
+                out = each(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                 held.clear()
-                if a.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                if out is not None and out.num_rows:
+                    yield out
 
         current = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = keys(batch)
+            k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], 1)
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 if current is not None and tuple(k[s]) != current:
@@ -239,7 +213,89 @@ def _unsettled_pairs(members: DataFrame, least: float) -> DataFrame:
                 held.append(batch.slice(s, e - s))
         yield from flush()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, schema)
+
+
+def _open_pairs(rows: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a group of two blocks that are still to be compared: across components, not
+    with the pivot, hopeful by their registers, and in the first band that both share."""
+    own, lo, hi, rep, label, pivot = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("own", "lo", "hi", "rep", "label", "pivot"))
+    regs = _matrix(rows.column(rows.schema.get_field_index("registers")))
+    bands, band = band_keys(regs), rows.column(rows.schema.get_field_index("band"))[0].as_py()
+    first, second = np.flatnonzero((own == lo) & (rep != pivot)), np.flatnonzero((own == hi) & (rep != pivot))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in first:
+        j = second[label[second] != label[i]]
+        if lo[0] == hi[0]:
+            j = j[rep[j] > rep[i]]
+        if j.size:
+            j = j[hopeful(regs[i][None, :], regs[j], least)]
+            j = j[bands[i][(bands[i][None, :] == bands[j]).argmax(axis=1)] == band]
+            left.append(np.full(j.size, i))
+            right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets a[k] and b[k], by products of 0/1 matrices over the hashes that several sets hold."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+    several = count[at] > 1
+    owner, col = owner[several], place[at[several]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    width = int((count > 1).sum())
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, width, columns):
+        x, y = np.searchsorted(col, [start, start + columns])
+        marks = np.zeros((len(sets), min(columns, width - start)), np.float32)
+        marks[owner[x:y], col[x:y] - start] = 1
+        total += marks @ marks.T
+    return total[a, b].astype(np.int64)
+
+
+def _unsettled_links(members: DataFrame, docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """Links across components within buckets that hold several; ``members``: band, rep, label, pivot, registers, n_members.
+
+    A first pass over registers keeps the rows that have a hopeful partner (at most as many as it read);
+    only these fetch their texts, and a second pass compares full sets within each pair of blocks. Pairs
+    are never sent.
+    """
+    blocks = F.ceil(F.col("n_members") / BLOCK)
+    placed = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks)})
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = placed.select("band", "rep", "label", "pivot", "registers", "own", others)
+    names = ["band", "lo", "hi", "own", "rep", "label", "pivot", "registers"]
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(*names)
+    keys, least = ("band", "lo", "hi"), part / whole
+
+    def keep(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        a, b = _open_pairs(rows, least)
+        return rows.take(pa.array(np.unique(np.concatenate([a, b])))) if a.size else None
+
+    kept = materialise(_by_group(dealt, keys, keep, "band long, lo long, hi long, own long, rep long, label long, pivot long, registers binary"), "unsettled")
+    ids = _hinted(materialise(kept.select(F.col("rep").alias("id")).distinct(), "unsettled-ids"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").withColumnRenamed("id", "rep")
+
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        a, b = _open_pairs(rows, least)
+        if not a.size:
+            return None
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        raw = rows.column(rows.schema.get_field_index("text")).take(pa.array(used)).cast(pa.large_binary())
+        shingler = Shingler(width)
+        sets = [s for start in range(0, used.size, 64) for s in shingler([v.as_py() or b"" for v in raw.slice(start, 64)])]
+        x, y = place[: a.size], place[a.size :]
+        size = np.array([s.size for s in sets])
+        shared = shared_counts(sets, x, y)
+        linked = whole * shared >= part * (size[x] + size[y] - shared)
+        rep = rows.column(rows.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
+        i, j = rep[a[linked]], rep[b[linked]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    return _by_group(kept.join(texts, "rep").select(*names, "text"), keys, compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -270,10 +326,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     open_buckets = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi and lo is not null")
     # a bucket of two has been examined: its only pair was with the pivot
     members = marked.where("n_members > 2").join(open_buckets.select("band"), "band", "left_semi").join(sketches.dropDuplicates(["rep"]), "rep")
-    further = materialise(_unsettled_pairs(members, least), "further")
+    further = materialise(_unsettled_links(members, docs, width, part, whole), "further")
     if further.limit(1).count():
-        links = links.union(_confirmed(further, docs, width, part, whole))
-        labels = components(links)
+        labels = components(links.union(further))
     out = placed.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
