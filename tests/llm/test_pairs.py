@@ -208,6 +208,19 @@ def test_hot_vector_and_query_blocks(spark):
             assert np.allclose(group.sort_values("rank")["score"].to_numpy()[:1], dist[:1])
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.03])
+def test_near_copies_share_codes(spark, noise):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[::3] = x[0] + noise * rng.normal(size=(2000, 64))
+    rows = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    hits = total = 0
+    for q, group in ann.search(rows).toPandas().groupby("query_id"):
+        want, _ = exact(x.astype(float), np.arange(6000), q, 10)
+        hits, total = hits + sum(a == b for a, b in zip(want, group.sort_values("rank")["vec_id"], strict=True)), total + 10
+    assert total == 600 and hits == total, hits / total
+
+
 # --- pipeline -----------------------------------------------------------------------------------------
 
 

@@ -9,11 +9,14 @@ bits a pair. The loss of a residual r of x weighs its part along x more than the
 because the part along x is what changes large inner products; codes are chosen by coordinate descent
 on it, and centroids solve its normal equations. A query becomes tables of 16 small integers for each
 pair of dimensions; scanning adds table entries, and a block's best are reranked at once by the exact
-distance on the original vectors.
+distance on the original vectors. Then every other row of the block that could still be among the best is
+reranked too: the residual's length bounds what its inner product hides (|q.r| <= |q||r|), the rows that
+this bound leaves are narrowed by a matrix product, and theirs are exact distances as well. So no row is
+lost to its codes, and groups of equal vectors and of near copies keep their true neighbours.
 
 Codebooks are fitted on a bounded sample (``Settings.sample``), every row is indexed. Queries go in
 blocks of bounded size to all tasks; each task keeps ten results a query, so that little is shuffled.
-Within a block of rows equal table sums are ordered by id, so groups of equal vectors lose nothing.
+Within a block of rows equal table sums are ordered by id.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part. Repeated rows of one id count once (the nearest). Ties go to the smaller id.
@@ -43,7 +46,7 @@ class Settings:
     lloyd: int = 8
     rounds: int = 3
     query_block: int = 8_192
-    #: Of each block of rows, this share and at least this many are reranked.
+    #: Of each block of rows, this share and at least this many are reranked first; they set the bound for the others.
     rerank_share: float = 0.02
     rerank_least: int = 100
 
@@ -90,6 +93,10 @@ class Codebook:
                 along[:, m] = picked
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The centroids of codes, [row, pair, 2]."""
+        return self.centroids[np.arange(self.pairs), codes]
+
     @staticmethod
     def _plain(p: np.ndarray, c: np.ndarray) -> np.ndarray:
         return ((p[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
@@ -144,14 +151,15 @@ def unpacked(raw: np.ndarray, pairs: int) -> np.ndarray:
     return out[:, :pairs]
 
 
-def query_tables(book: Codebook, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Integer tables [pair, query, 16] that grow with -q.x, and each query's scale."""
+def query_tables(book: Codebook, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Integer tables [pair, query, 16] that grow with -q.x, each query's scale, and its -q.x where all entries are 0."""
     parts = book.split(queries.astype(np.float64))
     value = -np.einsum("qmw,mcw->mqc", parts, book.centroids)
+    base = value.min(axis=2).sum(axis=0)
     value -= value.min(axis=2, keepdims=True)
     top = max(1, min(255, 60_000 // book.pairs))
     scale = top / np.maximum(value.max(axis=(0, 2)), 1e-30)
-    return np.rint(value * scale[None, :, None]).astype(np.uint8), scale
+    return np.rint(value * scale[None, :, None]).astype(np.uint8), scale, base
 
 
 class Nearest:
@@ -168,20 +176,38 @@ class Nearest:
         self.distance[at], self.ids[at] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
 
 
-def scan_block(near: Nearest, book: Codebook, tables: np.ndarray, scale: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, settings: Settings, step: int = 128) -> None:
-    """Table scan of one block of rows (ids ascending) for all queries, then exact distances of each query's best."""
+def best_of_pairs(q: np.ndarray, ids: np.ndarray, distance: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids [n, k] of each query's best among (query, id, distance), filled up with infinity."""
+    order = np.lexsort((ids, distance, q))
+    q, ids, distance = q[order], ids[order], distance[order]
+    rank = np.arange(q.size) - np.searchsorted(q, q)
+    out = Nearest(n, k)
+    first = (rank < k) & np.isfinite(distance)
+    out.distance[q[first], rank[first]], out.ids[q[first], rank[first]] = distance[first], ids[first]
+    return out.distance, out.ids
+
+
+def scan_block(near: Nearest, book: Codebook, tables: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, settings: Settings, step: int = 128, chunk: int = 65_536) -> None:
+    """Table scan of one block of rows (ids ascending) for all queries, then exact distances of each query's best
+    and of all further rows that the scan doesn't rule out."""
+    entries, scale, base = tables
     n, k = len(ids), near.ids.shape[1]
-    half = (vectors.astype(np.float64) ** 2).sum(1) / 2
-    half -= half.min()
+    wide = vectors.astype(np.float64)
+    square = (wide**2).sum(1)
+    least = square.min() / 2
+    half = square / 2 - least
+    hidden = np.sqrt(((book.split(wide) - book.decode(codes)) ** 2).sum((1, 2)))
+    rounding = book.pairs / 2 + 1  # of a table sum, half a step an entry and for the length
     columns = [np.ascontiguousarray(codes[:, m]) for m in range(book.pairs)]
     keep = min(n, max(settings.rerank_least, k + 1, int(n * settings.rerank_share)))
     place = np.arange(n, dtype=np.int64)
     for start in range(0, len(queries), step):
         at = slice(start, min(len(queries), start + step))
+        asked = queries[at].astype(np.float64)
         total = np.zeros((at.stop - start, n), np.int64)
         small = np.zeros((at.stop - start, n), np.uint16)
         for m, code in enumerate(columns):
-            small += np.take(tables[m, at], code, axis=1)
+            small += np.take(entries[m, at], code, axis=1)
         total += small
         if half.max() * scale[at].max() >= 0.5:
             total += np.rint(np.minimum(half[None, :] * scale[at, None], 1e9)).astype(np.int64)
@@ -189,12 +215,30 @@ def scan_block(near: Nearest, book: Codebook, tables: np.ndarray, scale: np.ndar
         own = query_ids[at, None] == ids[None, :]
         key[own] = np.iinfo(np.int64).max
         best = np.argpartition(key, keep - 1, axis=1)[:, :keep] if keep < n else np.broadcast_to(place, key.shape)
-        gap = vectors[best].astype(np.float64) - queries[at, None, :].astype(np.float64)
-        distance = np.sqrt((gap**2).sum(-1))
+        distance = np.sqrt(((wide[best] - asked[:, None, :]) ** 2).sum(-1))
         found = ids[best]
         distance[np.take_along_axis(own, best, 1)] = np.inf
         found = np.where(np.isinf(distance), np.iinfo(np.int64).max, found)
         near.merge(at, distance, found)
+        if keep == n:
+            continue
+        # half of the squared distance is |q|^2/2 + |x|^2/2 - q.c - q.r for the centroids c and the residual r
+        size = (asked**2).sum(1)
+        cut = near.distance[at, -1] ** 2 / 2
+        bound = (total - rounding) / scale[at, None] + (base[at] + size / 2 + least)[:, None] - np.sqrt(size)[:, None] * hidden[None, :]
+        rest = ~(bound > cut[:, None] + 1e-9 * (size[:, None] + square[None, :])) & ~own
+        np.put_along_axis(rest, best, False, 1)
+        open_rows = np.flatnonzero(rest.any(axis=0))
+        if not open_rows.size:
+            continue
+        close = (size[:, None] + square[None, open_rows]) / 2 - asked @ wide[open_rows].T
+        q, j = np.nonzero(rest[:, open_rows] & ~(close > cut[:, None] + 1e-11 * (size[:, None] + square[None, open_rows])))
+        j = open_rows[j]
+        distance = np.empty(q.size)
+        for s in range(0, q.size, chunk):
+            distance[s : s + chunk] = np.sqrt(((wide[j[s : s + chunk]] - asked[q[s : s + chunk]]) ** 2).sum(-1))
+        if q.size:
+            near.merge(at, *best_of_pairs(q, ids[j], distance, at.stop - start, k))
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -251,7 +295,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, settings: Settings
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             book, query_ids, queries = shared.value
-            tables, scale = query_tables(book, queries)
+            tables = query_tables(book, queries)
             near = Nearest(len(queries), k)
             for batch in batches:
                 if not batch.num_rows or not len(queries):
@@ -260,7 +304,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, settings: Settings
                 ids = batch.column(0).to_numpy()[first]
                 raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[first]
                 x = np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).reshape(batch.num_rows, -1)[first]
-                scan_block(near, book, tables, scale, queries, query_ids, ids, unpacked(raw, book.pairs), x, settings)
+                scan_block(near, book, tables, queries, query_ids, ids, unpacked(raw, book.pairs), x, settings)
             q, j = np.nonzero(np.isfinite(near.distance))
             if q.size:
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(near.ids[q, j]), pa.array(near.distance[q, j])], ["query_id", "vec_id", "score"])
