@@ -56,6 +56,19 @@ def test_negation_guard(spark):
     assert column(spark, "nothing here", f) == "other"
 
 
+def test_negation_guard_of_each_match(spark):
+    rules = [("token", r"(?i)\btoken\b"), ("that", r"(?i)\bthat\b")]
+    f = lambda c: text.first_match_unless(c, rules, r"(?i)\b(?:not|no|of)\b")
+    far = " and then a good while later a "
+    assert column(spark, f"no token here{far}token", f) == "token"
+    assert column(spark, f"a token first{far}of token", f) == "token"
+    assert column(spark, f"no token, of\nthe token{far}that", f) == "that"
+    assert column(spark, "not\na token", f) == "other"
+    assert column(spark, "notes token", f) == "token"
+    assert column(spark, "no" + " " + "y" * 22 + " token", f) == "other"
+    assert column(spark, "no" + " " + "y" * 23 + " token", f) == "token"
+
+
 def test_chain_and_asof(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
     rows = [("s", "a", "resign", day(0)), ("s", "b", "vacancy", day(10)), ("s", "c", "poll", day(10)), ("s", "d", "poll", day(500)), ("t", "e", "poll", day(1))]

@@ -38,10 +38,14 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str | N
 
 
 def first_match_unless(text: Column, rules: Sequence[tuple[str, str]], guard: str, look_back: int = 24, default: str = "other") -> Column:
-    """Like :func:`first_match`, but a match with ``guard`` in the ``look_back`` characters before it doesn't count."""
+    """Like :func:`first_match`, but a match with ``guard`` in the ``look_back`` characters before it doesn't count.
+
+    Every match is tested by itself, so one without a guard counts whatever stands before the others. The guard
+    and up to ``look_back`` characters, of any kind, lie in a look-behind of bounded length.
+    """
     out: Column | None = None
     for name, pattern in rules:
-        plain = text.rlike(pattern) & ~text.rlike(f"(?:{guard}).{{0,{look_back}}}(?:{pattern})")
+        plain = text.rlike(f"(?<!(?:{guard})(?s:.{{0,{look_back}}}))(?:{pattern})")
         out = F.when(plain, name) if out is None else out.when(plain, name)
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 
