@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import links, numbers, text
-from tidewright.operators import checks, forecast, graph, keys, search, stories, temporal
+from tidewright.operators import checks, forecast, graph, keys, search, stories, temporal, vectors
 from tidewright.sources import files, sinks
 
 
@@ -111,6 +111,13 @@ def test_search(spark):
     assert column(spark, "one two three red four", lambda c: search.snippet(c, ["red"], 3)) == "two three [red]"
 
 
+def test_top_k_in_blocks_of_queries(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, v array<double>")
+    asked = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = [sorted(map(tuple, vectors.top_k_each(rows, "id", "v", asked, 4, most).collect())) for most in (100, 5)]
+    assert found[0] == found[1] and len(found[0]) == 14 * 4
+
+
 def test_guarded_sql(spark):
     assert checks.guarded_sql(spark, "SELECT 'drop table' AS x").first()["x"] == "drop table"
     for bad in ("DROP TABLE x", "SELECT 1; DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a", ""):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,18 @@ def top_k(rows: DataFrame, ident: str, vector: str, query: DataFrame, k: int) ->
 
 
 def top_k_each(rows: DataFrame, ident: str, vector: str, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """(query_id, id, score, rank) for a set of at most ``most`` queries (columns query_id, q), which is checked."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: give them in blocks")
-    scored = rows.crossJoin(F.broadcast(queries)).select("query_id", F.col(ident).alias("id"), cosine(F.col(vector), F.col("q")).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+    """(query_id, id, score, rank) for any number of queries (columns query_id, q), in blocks of about ``most`` by a hash."""
+    n_blocks = max(1, -(-queries.count() // most))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+
+    def found_by(asked: DataFrame) -> DataFrame:
+        scored = rows.crossJoin(F.broadcast(asked)).select("query_id", F.col(ident).alias("id"), cosine(F.col(vector), F.col("q")).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+        return ranked.where(F.col("rank") <= k)
+
+    if n_blocks == 1:
+        return found_by(queries)
+    return reduce(DataFrame.unionByName, [found_by(queries.where(block == b)) for b in range(n_blocks)])
 
 
 def pca_2d(rows: DataFrame, ident: str, vector: str) -> DataFrame:
