@@ -157,6 +157,36 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(langid.word_scores([word], pieces, 2, prob)[0, 0], np.log(brute("▁" + word)))
 
 
+def test_long_words_are_not_cut():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "ba"])}
+    prob = np.array([[0.1, 0.2], [0.2, 0.1], [0.15, 0.2], [0.3, 0.1], [0.05, 0.1], [0.2, 0.3], [langid.UNKNOWN] * 2])
+    word = "abbab" * 9
+    alpha = [np.ones(2)]
+    for j in range(1, len(word) + 2):
+        said = "▁" + word
+        alpha.append(sum(alpha[j - n] * prob[pieces[said[j - n : j]]] for n in (1, 2) if j >= n and said[j - n : j] in pieces))
+    assert np.allclose(langid.word_scores([word], pieces, 2, prob)[0], np.log(alpha[-1]), rtol=1e-12)
+    assert np.isfinite(langid.word_scores([word * 200], pieces, 2, prob)).all()
+    short, whole = np.zeros((7, 2)), np.zeros((7, 2))
+    langid.add_expected(whole, "▁abab", np.ones(2), pieces, 2, prob)
+    said = "▁abab"
+    edges = langid.lattice([said], pieces, 2)
+    alpha = langid.forward([said], edges, prob)
+    beta = np.zeros_like(alpha)
+    beta[5] = 1.0
+    for (i, j), (k, p) in sorted(edges.items(), key=lambda e: -e[0][0]):
+        beta[i, k] += beta[j, k] * prob[p]
+    for (i, j), (k, p) in edges.items():
+        np.add.at(short, p, alpha[i, k] * prob[p] * beta[j, k] / alpha[5][k])
+    assert np.allclose(short, whole)
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:02d}" for i in range(66)]
+    rows = spark.createDataFrame([(i, n, "word " * 3 + chr(97 + i % 26)) for i, n in enumerate(names)], "doc_id long, lang string, text string").coalesce(1)
+    assert langid.fit(rows, langid.Settings(rounds=1)).languages == names
+
+
 def test_classifiers_on_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (6, None, None), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     none = labels.limit(0)

@@ -7,7 +7,7 @@ vocabulary's word-begin mark). The piece probabilities come from expectation max
 counts of a bounded sample: each round shares a word's count over its segmentations (forward-backward).
 
 A character that is no piece counts as one piece of a small probability that is equal in all
-languages. Words are cut into stretches of at most 40 characters. A worker keeps the log
+languages. Words of more than 40 characters are scored position by position with scaling. A worker keeps the log
 probabilities of distinct words in a bounded cache.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. Without training rows
@@ -41,7 +41,6 @@ words_of = re.compile(r"[^\W\d_]+").findall
 @dataclass(frozen=True)
 class Settings:
     rows_per_language: int = 500
-    languages: int = 64
     rounds: int = 3
     smoothing: float = 0.02
 
@@ -60,11 +59,6 @@ def vocabulary(name: str = DEFAULT_PIECES) -> dict[str, int]:
     return out
 
 
-def stretches(word: str) -> Iterator[str]:
-    for k in range(0, len(word), LONGEST_WORD):
-        yield ("▁" if k == 0 else "") + word[k : k + LONGEST_WORD]
-
-
 def lattice(words: list[str], pieces: dict[str, int], longest: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """(start, end) -> words and pieces that lie there; every single character has a piece, the last id at least."""
     unknown, found = len(pieces), {}
@@ -95,21 +89,49 @@ def forward(words: list[str], edges: dict, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def scaled(word: str, pieces: dict[str, int], longest: int, prob: np.ndarray) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
+    """Forward algorithm over a word of any length, at each position j: its pieces as (length, id), the sum over the
+    segmentations that end there relative to the position before, and each piece's share of it."""
+    recent = [np.ones(prob.shape[1])]  # alpha of the last positions, latest first, in units of the latest
+    for j in range(1, len(word) + 1):
+        ends = []
+        for n in range(1, min(j, longest) + 1):
+            p = pieces.get(word[j - n : j], len(pieces) if n == 1 else None)
+            if p is not None:
+                ends.append((n, p))
+        terms = np.stack([recent[n - 1] * prob[p] for n, p in ends])
+        step = terms.sum(axis=0)
+        yield ends, step, terms / step
+        recent = [np.ones(prob.shape[1])] + [a / step for a in recent[: longest - 1]]
+
+
+def add_expected(expected: np.ndarray, word: str, weight: np.ndarray, pieces: dict[str, int], longest: int, prob: np.ndarray) -> None:
+    """Adds a long word's count of each piece: from the end, a position's weight is shared over the pieces that end there."""
+    steps = [(ends, shares) for ends, _, shares in scaled(word, pieces, longest, prob)]
+    mass = [weight]  # of positions j, j - 1, ...
+    for ends, shares in reversed(steps):
+        here = mass.pop(0)
+        for (n, p), share in zip(ends, shares, strict=True):
+            while len(mass) < n:
+                mass.append(np.zeros_like(weight))
+            mass[n - 1] = mass[n - 1] + here * share
+            expected[p] += here * share
+
+
 def word_scores(words: list[str], pieces: dict[str, int], longest: int, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, summed over all segmentations."""
-    parts, owner = [], []
-    for k, word in enumerate(words):
-        for part in stretches(word):
-            parts.append(part)
-            owner.append(k)
     out = np.zeros((len(words), prob.shape[1]))
-    sizes = np.array([len(p) for p in parts])
-    owner = np.array(owner)
+    sizes = np.array([len(w) for w in words])
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        group = [parts[i] for i in at]
+        group = ["▁" + words[i] for i in at]
+        if n > LONGEST_WORD:
+            for i, word in zip(at, group, strict=True):
+                for _, step, _ in scaled(word, pieces, longest, prob):
+                    out[i] += np.log(step)
+            continue
         alpha = forward(group, lattice(group, pieces, longest), prob)
-        np.add.at(out, owner[at], np.log(alpha[n]))
+        out[at] = np.log(alpha[n + 1])
     return out
 
 
@@ -117,19 +139,18 @@ def expectation_maximisation(counts: dict[str, Counter], pieces: dict[str, int],
     """Languages and prob[piece, language], from word counts of each language."""
     languages = sorted(counts)
     longest = max(map(len, pieces))
-    words = sorted({p for c in counts.values() for w in c for p in stretches(w)})
+    words = sorted({"▁" + w for c in counts.values() for w in c})
     slot = {w: k for k, w in enumerate(words)}
     weight = np.zeros((len(words), len(languages)))
     for l, name in enumerate(languages):
         for w, n in counts[name].items():
-            for p in stretches(w):
-                weight[slot[p], l] += n
+            weight[slot["▁" + w], l] += n
     sizes = np.array([len(w) for w in words])
     groups = []
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
         group = [words[i] for i in at]
-        groups.append((n, at, group, lattice(group, pieces, longest)))
+        groups.append((n, at, group, lattice(group, pieces, longest) if n <= LONGEST_WORD + 1 else None))
     v = len(pieces)
     # start: longer pieces are likelier than the product of their characters
     prob = np.full((v + 1, len(languages)), 1.0 / v)
@@ -137,6 +158,10 @@ def expectation_maximisation(counts: dict[str, Counter], pieces: dict[str, int],
     for _ in range(settings.rounds):
         expected = np.zeros((v + 1, len(languages)))
         for n, at, group, edges in groups:
+            if edges is None:
+                for i, word in zip(at, group, strict=True):
+                    add_expected(expected, word, weight[i], pieces, longest, prob)
+                continue
             alpha = forward(group, edges, prob)
             beta = np.zeros_like(alpha)
             beta[n] = 1.0
@@ -172,15 +197,12 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings(), pieces_
 def fit(docs: DataFrame, settings: Settings = Settings(), pieces_name: str = DEFAULT_PIECES) -> Model:
     """Train on a bounded sample of rows with a language, a hash's first of each (the caller leaves out held-out rows)."""
     known = docs.select("doc_id", "lang").where("lang is not null")
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()]
+    names = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]
     cuts = {name: sampling.first_by_hash(known.where(F.col("lang") == name), settings.rows_per_language) for name in names}
     if not cuts:
         return train([], settings, pieces_name)
-    wanted = None
-    for name, cut in cuts.items():
-        one = (F.col("lang") == name) & (sampling.hashed_id() <= cut)
-        wanted = one if wanted is None else wanted | one
-    rows = docs.select("lang", "text", "doc_id").where(wanted).where(F.char_length("text") <= MAX_TRAIN_CHARS)
+    bounds = docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut long")
+    rows = docs.select("lang", "text", "doc_id").join(F.broadcast(bounds), "lang").where(sampling.hashed_id() <= F.col("cut")).where(F.char_length("text") <= MAX_TRAIN_CHARS)
     sample = rows.select("lang", "text").limit(settings.rows_per_language * len(cuts)).collect()
     return train([(r["lang"], r["text"]) for r in sample], settings, pieces_name)
 
