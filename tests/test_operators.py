@@ -32,6 +32,11 @@ def test_slug_and_codes(spark):
         ("http://ex.com/?x=&y=1", "http://ex.com/?x=&y=1"),
         ("no link", "no link"),
         ("http://e.com?utm_a=1&utm_b=2", "http://e.com"),
+        ("http://e.com/p?gclid=1&mc_cid=2&igshid=3", "http://e.com/p?gclid=1&mc_cid=2&igshid=3"),
+        ("http://e.com/?a=x%20y&b=%C3%A9~*", "http://e.com/?a=x+y&b=%C3%A9~%2A"),
+        ("http://e.com/?flag&&z=1=2", "http://e.com/?flag=&z=1%3D2"),
+        ("A &lt;b&gt; &#8212; &#x26;amp; &amp;lt; &unknown;", "A <b> \u2014 &amp; &lt; &unknown;"),
+        ("http://E.com:80/P%2fq/?UTM_Source=1#x", "http://e.com:80/P%2fq/"),
     ],
 )
 def test_normalize_link(spark, raw, want):
@@ -107,7 +112,6 @@ def test_search(spark):
     assert hit('"a letter" OR the') == {1, 2}
     assert hit("unkn*") == {2}
     assert hit("") == set()
-    assert search.sanitize("show-cause now") == '"show-cause" now'
     assert column(spark, "one two three red four", lambda c: search.snippet(c, ["red"], 3)) == "two three [red]"
 
 
@@ -120,7 +124,11 @@ def test_top_k_in_blocks_of_queries(spark):
 
 def test_guarded_sql(spark):
     assert checks.guarded_sql(spark, "SELECT 'drop table' AS x").first()["x"] == "drop table"
-    for bad in ("DROP TABLE x", "SELECT 1; DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a", ""):
+    named = spark.createDataFrame([(1, 2)], "`set` int, `add` int")
+    assert tuple(checks.guarded_sql(spark, "WITH a AS (SELECT set, add AS `update` FROM {t}) SELECT * FROM a", t=named).first()) == (1, 2)
+    bad_ones = ["DROP TABLE x", "SELECT 1; DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a", "", "SET a = 1", "SHOW TABLES", "EXPLAIN SELECT 1"]
+    bad_ones += ["SELECT reflect('java.lang.System', 'exit', 1)", "SELECT 1 WHERE EXISTS (SELECT java_method('java.lang.Math', 'abs', 1))", "WITH a AS (SELECT try_reflect('x', 'y')) SELECT * FROM a"]
+    for bad in bad_ones:
         with pytest.raises(ValueError, match="read-only"):
             checks.guarded_sql(spark, bad)
 

@@ -23,15 +23,14 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in (0, 1) from the MD5 of the parts: the same on any engine and partitioning."""
-    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+def uniform(*parts: Column, at: int = 1) -> Column:
+    """A number in (0, 1) from eight digits of the MD5 of the parts: the same on any engine and partitioning."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
 def gauss(*parts: Column) -> Column:
-    """A standard normal draw by Box-Muller from two uniform ones."""
-    u1, u2 = uniform(*parts, F.lit("1")), uniform(*parts, F.lit("2"))
-    return F.sqrt(-2.0 * F.ln(u1)) * F.cos(u2 * (2.0 * math.pi))
+    """A standard normal draw by Box-Muller from two uniform ones, of the same MD5."""
+    return F.sqrt(-2.0 * F.ln(uniform(*parts))) * F.cos(uniform(*parts, at=9) * (2.0 * math.pi))
 
 
 def normal_cdf(x: Column) -> Column:

@@ -112,14 +112,21 @@ def scenarios(seats: DataFrame, defined: list[Scenario], penalised: Column) -> D
     return rows.groupBy("scenario", F.col("proj_winner").alias("bloc")).agg(F.count("*").alias("seats"))
 
 
+#: Iterations that one row of a seat draws, before partial sums are made.
+DRAWS = 250
+
+
 def monte_carlo(seats: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
-    """(iteration, government, flips): noise by a counter-based generator, so any partitioning gives the same draws."""
-    spark = seats.sparkSession
-    runs = spark.range(iterations).select(F.col("id").alias("iteration"))
+    """(iteration, government, flips): noise by a counter-based generator, so any partitioning gives the same draws.
+
+    Seats are dealt in blocks of iterations, and each task adds up its draws by iteration before they are sent.
+    """
     sigma = F.when(F.col("margin") < 5, 2.0).otherwise(1.2)
     noise = gauss(F.lit(str(seed)), F.col("iteration").cast("string"), F.col("code").cast("string")) * sigma
-    # as many rows as draws are asked for: the seats (few) are sent to each range of iterations
-    rows = projected(runs.crossJoin(seats.select("code", "winner", "runnerup", "margin", "swing_winner", "swing_runnerup")), noise)
+    blocks = seats.select("code", "winner", "runnerup", "margin", "swing_winner", "swing_runnerup", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(DRAWS))).alias("first"))
+    parts = int(seats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.least(F.col("first") + (DRAWS - 1), F.lit(iterations - 1))
+    rows = projected(blocks.repartition(parts, "code", "first").withColumn("iteration", F.explode(F.sequence("first", last))), noise)
     return rows.groupBy("iteration").agg(F.sum(F.col("proj_winner").isin(*GOVERNMENT_TOTAL).cast("long")).alias("government"), F.sum(F.col("flip").cast("long")).alias("flips"))
 
 

@@ -39,18 +39,13 @@ def bm25(docs: DataFrame, ident: str, text: str, query: Sequence[str]) -> DataFr
     return tf.join(F.broadcast(every), "token").crossJoin(F.broadcast(totals)).groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def sanitize(query: str) -> str:
-    """Quote bare tokens with other characters than word ones; a query with operators stays as it is."""
-    query = query.strip()
-    if not query or re.search(r'["*()]|\b(?:OR|AND|NOT|NEAR)\b', query):
-        return query
-    return " ".join(f'"{t}"' if re.search(r"\W", t) else t for t in query.split())
-
-
 def match(text: Column, query: str) -> Column:
-    """Whether a text matches a query of words, "phrases", prefix*, AND (or nothing), OR, NOT and parentheses."""
+    """Whether a text matches a query of words, "phrases", prefix*, AND (or nothing), OR, NOT and parentheses.
+
+    A word with other characters in it is the phrase of its parts.
+    """
     padded = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
-    items = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', sanitize(query))
+    items = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
     at = 0
 
     def phrase(raw: str) -> Column:

@@ -42,13 +42,21 @@ def jaccard_pairs(rows: DataFrame, ident: str, tokens: str, least: float) -> Dat
 def weighted_jaccard_pairs(rows: DataFrame, ident: str, tokens: str, weights: DataFrame, least: float) -> DataFrame:
     """(a, b, score): weight of shared tokens over weight of all, for pairs that share a token and reach ``least``.
 
-    score = shared / (sum_a + sum_b - shared), so only shared tokens are joined.
+    Exact: of a pair that reaches it, the shared weight is ``least`` of either sum at least, so both share one
+    of those heaviest (rarest) tokens without which the rest of a set weighs less than that.
     """
     sets = rows.select(F.col(ident).alias("id"), F.explode(F.array_distinct(tokens)).alias("token")).join(weights.select("token", "weight"), "token")
-    sums = sets.groupBy("id").agg(F.sum("weight").alias("total"))
-    a, b = sets.select("token", "weight", F.col("id").alias("a")), sets.select("token", F.col("id").alias("b"))
-    shared = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("common"))
-    scored = shared.join(sums.select(F.col("id").alias("a"), F.col("total").alias("ta")), "a").join(sums.select(F.col("id").alias("b"), F.col("total").alias("tb")), "b")
+    own = Window.partitionBy("id")
+    heavier = own.orderBy(F.desc("weight"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sets.withColumns({"total": F.sum("weight").over(own), "before": F.coalesce(F.sum("weight").over(heavier), F.lit(0.0))})
+    prefix = placed.where(F.col("total") - F.col("before") >= F.col("total") * least - 1e-6).select("token", "id", "total")
+    a, b = (prefix.select("token", F.col("id").alias(x), F.col("total").alias(f"t{x}")) for x in "ab")
+    near = (F.col("ta") >= F.col("tb") * least - 1e-6) & (F.col("tb") >= F.col("ta") * least - 1e-6)
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    whole = sets.groupBy("id").agg(F.sum("weight").alias("total"), F.collect_list(F.struct("token", "weight")).alias("set"))
+    left, right = (whole.select(F.col("id").alias(x), F.col("total").alias(f"t{x}"), F.col("set").alias(f"s{x}")) for x in "ab")
+    common = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0.0), lambda total, x: total + x["weight"])
+    scored = pairs.join(left, "a").join(right, "b").withColumn("common", common)
     scored = scored.select("a", "b", (F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("score"))
     return scored.where(F.col("score") >= least)
 

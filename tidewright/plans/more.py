@@ -25,10 +25,10 @@ def time_tolerance_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("i").alias("a"), F.col("j").alias("b"))
 
 
-@add("""SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 40) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 40) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2""")
+@add("""SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2""")
 def cooccurrence_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Entities of one record as unordered pairs: records hold few entities, so lists are exploded in place."""
-    sets = table(spark, d, "lineitem").where("l_quantity >= 40").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s")).where("size(s) > 1")
+    sets = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s")).where("size(s) > 1")
     firsts = sets.select(F.posexplode("s").alias("k", "a"), "s")
     return firsts.select("a", F.explode(F.filter("s", lambda x: x > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 

@@ -99,14 +99,14 @@ def forecast_scenarios(spark: SparkSession, d: str) -> DataFrame:
     return forecast.scenarios(rows, SCENARIOS, F.col("code") % 2 == 0)
 
 
-_U = "((('0x' || substr(md5('42|' || CAST(i AS VARCHAR) || '|' || CAST(code AS VARCHAR) || '|{0}'), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
-_NOISE = f"sqrt(-2.0 * ln({_U.format(1)})) * cos({_U.format(2)} * 6.283185307179586) * CASE WHEN margin < 5 THEN 2.0 ELSE 1.2 END"
+_U = "((('0x' || substr(md5('42|' || CAST(i AS VARCHAR) || '|' || CAST(code AS VARCHAR)), {0}, 8))::BIGINT + 0.5) / 4294967296.0)"
+_NOISE = f"sqrt(-2.0 * ln({_U.format(1)})) * cos({_U.format(9)} * 6.283185307179586) * CASE WHEN margin < 5 THEN 2.0 ELSE 1.2 END"
 
 
-@add(f"""WITH {SEATS_SQL}, m AS (SELECT i, raw + {_NOISE} < 0 AS flip, winner, runnerup FROM proj, (SELECT unnest(range(200)) AS i)), t AS (SELECT i, count_if(CASE WHEN flip THEN runnerup ELSE winner END IN ('PH', 'BN', 'GPS', 'GRS', 'WARISAN', 'MUDA', 'KDM', 'PBM')) AS g, count_if(flip) AS f FROM m GROUP BY i)
+@add(f"""WITH {SEATS_SQL}, m AS (SELECT i, raw + {_NOISE} < 0 AS flip, winner, runnerup FROM proj, (SELECT unnest(range(5000)) AS i)), t AS (SELECT i, count_if(CASE WHEN flip THEN runnerup ELSE winner END IN ('PH', 'BN', 'GPS', 'GRS', 'WARISAN', 'MUDA', 'KDM', 'PBM')) AS g, count_if(flip) AS f FROM m GROUP BY i)
 SELECT round(quantile_cont(g, 0.1), 6) AS p10, round(quantile_cont(g, 0.5), 6) AS p50, round(quantile_cont(g, 0.9), 6) AS p90, round(avg(f), 6) AS mean_flips, round(avg(CASE WHEN g >= 600 THEN 1.0 ELSE 0.0 END), 6) AS majority_chance FROM t""")
 def monte_carlo_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    runs = forecast.monte_carlo(forecast.with_swings(seats(spark, d), swings(spark, d)), 200)
+    runs = forecast.monte_carlo(forecast.with_swings(seats(spark, d), swings(spark, d)), 5000)
     q = [F.round(F.percentile("government", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)]
     return runs.agg(*q, F.round(F.avg("flips"), 6).alias("mean_flips"), F.round(F.avg(F.when(F.col("government") >= 600, 1.0).otherwise(0.0)), 6).alias("majority_chance"))
 

@@ -57,9 +57,9 @@ def event_full_left_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"), "o_orderstatus", F.col("c_name").alias("customer"), "suppliers")
 
 
-@add("SELECT s_suppkey, s_name, count(l_orderkey) AS line_count FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 GROUP BY s_suppkey, s_name")
+@add("SELECT s_suppkey, s_name, count(l_orderkey) AS line_count FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name")
 def source_usage(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").where("l_quantity > 49").groupBy("l_suppkey").agg(F.count("l_orderkey").alias("n"))
+    used = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("l_orderkey").alias("n"))
     s = table(spark, d, "supplier")
     return s.join(used, s.s_suppkey == used.l_suppkey, "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("line_count"))
 
@@ -159,8 +159,8 @@ def story_current(spark: SparkSession, d: str) -> DataFrame:
 
 @add("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE value > 5 GROUP BY event_type")
 def guarded_query(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "events").createOrReplaceTempView("guarded_events")
-    return checks.guarded_sql(spark, "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM guarded_events WHERE value > 5 GROUP BY event_type")
+    statement = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} WHERE value > 5 GROUP BY event_type"
+    return checks.guarded_sql(spark, statement, events=table(spark, d, "events"))
 
 
 @add("""SELECT 'event_type' AS kind, event_type AS name, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY 2

@@ -31,10 +31,10 @@ def seat_code(spark: SparkSession, d: str) -> DataFrame:
 _TOKENS = "list_sort(list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: length(w) >= {1})))"
 
 
-@add(f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t[1:5], ' ') AS first_tokens FROM (SELECT doc_id, {_TOKENS.format('text', 4)} AS t FROM documents)")
+@add(f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {_TOKENS.format('text', 4)} AS t FROM documents)")
 def token_sets(spark: SparkSession, d: str) -> DataFrame:
     t = text.tokens(F.col("text"), 4)
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @add("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'legal' WHEN regexp_matches(text, '(?i)token|secret|password') THEN 'secret' WHEN regexp_matches(text, '[|]') THEN 'table' ELSE NULL END AS theme FROM documents""")
@@ -75,9 +75,12 @@ def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
     return stories.longest_matches(rows, "id", "text", needles).groupBy("id", "name").agg(F.count("*").alias("n"), F.min("start").alias("first_at"))
 
 
-@add(r"""WITH a AS (SELECT page_id, regexp_replace(replace(url, '&amp;', '&'), '#.*$', '') AS u FROM pages), b AS (SELECT page_id, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS head, u FROM a),
-c AS (SELECT page_id, lower(head) AS head, regexp_extract(substr(u, length(head) + 1), '^([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(substr(u, length(head) + 1), '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=&]*|fbclid|gclid|mc_cid|mc_eid|igshid)(=|$)')) AS q FROM b)
-SELECT page_id, head || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS link FROM c""")
+_FORM = "replace(replace(url_encode(url_decode(replace({0}, '+', ' '))), '%20', '+'), '*', '%2A')"
+
+
+@add(rf"""WITH a AS (SELECT page_id, regexp_replace(replace(url, '&amp;', '&'), '#.*$', '') AS u FROM pages), b AS (SELECT page_id, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS head, u FROM a),
+c AS (SELECT page_id, lower(head) AS head, regexp_extract(substr(u, length(head) + 1), '^([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(substr(u, length(head) + 1), '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|fbclid)(=|$)')) AS q FROM b)
+SELECT page_id, head || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda x: {_FORM.format("regexp_extract(x, '^([^=]*)', 1)")} || '=' || {_FORM.format("regexp_replace(x, '^[^=]*=?', '')")}), '&') ELSE '' END AS link FROM c""")
 def normalize_link(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", links.normalize_link(F.col("url")).alias("link"))
 
@@ -133,18 +136,18 @@ def feed_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("title", "link", files.published_date(F.col("published")).alias("published"))
 
 
-_DOCTOK = f"SELECT doc_id, {_TOKENS.format('text', 9)} AS t FROM documents"
+_DOCTOK = f"SELECT doc_id, {_TOKENS.format('text', 4)} AS t FROM documents"
 
 
-def _long_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.tokens(F.col("text"), 9).alias("t"))
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.tokens(F.col("text"), 4).alias("t"))
 
 
-@add(f"""WITH d AS ({_DOCTOK}), f AS (SELECT token, count(*) AS df FROM (SELECT unnest(t) AS token FROM d) GROUP BY 1) SELECT token, df, round(ln(((SELECT count(*) FROM d) + 1.0) / (df + 1.0)) + 1e-9, 9) AS weight FROM f WHERE df >= 5""")
+@add(f"""WITH d AS ({_DOCTOK}), f AS (SELECT token, count(*) AS df FROM (SELECT unnest(t) AS token FROM d) GROUP BY 1) SELECT token, df, round(ln(((SELECT count(*) FROM d) + 1.0) / (df + 1.0)) + 1e-9, 9) AS weight FROM f""")
 def idf_weights(spark: SparkSession, d: str) -> DataFrame:
-    rows = _long_tokens(spark, d)
+    rows = _signatures(spark, d)
     weights = similarity.idf(similarity.document_frequency(rows, "doc_id", "t"), rows.agg(F.count("*").alias("n")))
-    return weights.where("df >= 5").select("token", "df", F.round("weight", 9).alias("weight"))
+    return weights.select("token", "df", F.round("weight", 9).alias("weight"))
 
 
 _JACCARD = f"""WITH d AS ({_DOCTOK}), e AS (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM d), p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared FROM e x JOIN e y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY 1, 2)
@@ -153,13 +156,13 @@ SELECT a, b, shared, na AS size_a, nb AS size_b FROM p WHERE shared >= 0.6 * (na
 
 @add(_JACCARD)
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.jaccard_pairs(_long_tokens(spark, d), "doc_id", "t", 0.6)
+    return similarity.jaccard_pairs(_signatures(spark, d), "doc_id", "t", 0.6)
 
 
 @add(f"""WITH d AS ({_DOCTOK}), e AS (SELECT doc_id, unnest(t) AS token FROM d), f AS (SELECT token, ln(((SELECT count(*) FROM d) + 1.0) / (count(*) + 1.0)) + 1e-9 AS w FROM e GROUP BY 1), s AS (SELECT doc_id, sum(w) AS total FROM e JOIN f USING (token) GROUP BY 1),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(w) AS common FROM e x JOIN e y ON x.token = y.token AND x.doc_id < y.doc_id JOIN f ON f.token = x.token GROUP BY 1, 2) SELECT a, b, round(common / (sa.total + sb.total - common), 6) AS score FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE common / (sa.total + sb.total - common) >= 0.6""")
 def weighted_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _long_tokens(spark, d)
+    rows = _signatures(spark, d)
     weights = similarity.idf(similarity.document_frequency(rows, "doc_id", "t"), rows.agg(F.count("*").alias("n")))
     return similarity.weighted_jaccard_pairs(rows, "doc_id", "t", weights, 0.6).select("a", "b", F.round("score", 6).alias("score"))
 
@@ -172,7 +175,7 @@ def near_dup_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @add(f"""WITH RECURSIVE l AS ({_JACCARD}), e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    pairs = similarity.jaccard_pairs(_long_tokens(spark, d), "doc_id", "t", 0.6).select("a", "b")
+    pairs = similarity.jaccard_pairs(_signatures(spark, d), "doc_id", "t", 0.6).select("a", "b")
     return graph.connected_components(table(spark, d, "documents").select("doc_id"), "doc_id", pairs)
 
 
