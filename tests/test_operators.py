@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.functions import links, numbers, text
+from tidewright.functions import dates, json_text, names, links, numbers, text
 from tidewright.operators import checks, forecast, graph, keys, search, stories, temporal, vectors
 from tidewright.sources import files, sinks
 
@@ -195,3 +195,96 @@ def test_sinks(spark, tmp_path):
 def test_dates(spark):
     got = column(spark, "On 2024-05-06, then 7 June 2023, in 2022-11 and Q3 2021", stories.text_dates)
     assert {(h["iso"], h["precision"]) for h in got} == {("2024-05-06", "day"), ("2023-06-07", "day"), ("2022-11", "month"), ("2021-Q3", "quarter")}
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("2026-03-01 to 2026-04-02", [("2026-03-01", "2026-04-02", "day")]),
+        ("from 3 March – 5 April 2026, then Q3 2027", [("2026-03-03", "2026-04-05", "day"), ("2027-07-01", None, "quarter")]),
+        ("3–5 Mar 2026", [("2026-03-03", "2026-03-05", "day")]),
+        ("Jan-Mar 2026; 2026 Q4; 2026-Q1", [("2026-01-01", "2026-03-01", "month"), ("2026-10-01", None, "quarter"), ("2026-01-01", None, "quarter")]),
+        ("by September 2026 or 2028, not 1999 nor 2031", [("2026-09-01", None, "month"), ("2028-01-01", None, "year")]),
+        ("12026-03-01, 2026-03-011, march 2026", [("2026-01-01", None, "year")] * 2),
+        ("", []),
+    ],
+)
+def test_dates_in(said, want):
+    assert [(h["iso"], h["iso_end"], h["precision"]) for h in dates.dates_in(said)] == want
+
+
+def test_person_keys_and_titles(spark):
+    for raw, key in {"Dato' Seri Dr. Anwar bin Ibrahim": "dr anwar ibrahim", "Tun X (a) from 2 May 2020": "x", "Tun": "", None: "", "Haji Ali  Md Noor": "ali noor"}.items():
+        assert column(spark, raw, names.person_key) == key
+    assert column(spark, "A **bold**  *it* `c`", names.clean_markdown) == "A bold it c"
+    assert column(spark, "GDP yoy H1 h1 2026 2026", names.dedupe_words) == "GDP yoy H1 2026"
+    assert column(spark, "1.50", lambda c: names.trimmed(c.cast("double"))) == "1.5"
+    assert column(spark, "2", lambda c: names.trimmed(c.cast("double"))) == "2.0"
+
+
+def test_json_texts(spark):
+    assert json_text.canonical_bytes('{"b":[1],"a":"é"}') == '{\n  "a": "é",\n  "b": [\n    1\n  ]\n}\n'.encode()
+    assert column(spark, "no json", json_text.canonical_hash) is None
+    got = column(spark, '{"a": {"b": "https://x.y", "c": [1, null, {"d": "https://x.y"}]}}', json_text.flattened)
+    assert (got["said"], got["urls"]) == ("b https://x.y c 1 d https://x.y", ["https://x.y"])
+
+
+def test_recent_and_window(spark):
+    import datetime
+
+    cutoff = F.lit(datetime.datetime(2026, 8, 1))
+    for raw, passes in {"2026-08-02": True, "2026-07-31T10:00:00Z": False, "soon": True, None: True, "Sun, 02 Aug 2026 10:00:00 GMT": True, "Wed, 01 Jul 2026 10:00:00 GMT": False}.items():
+        assert column(spark, raw, lambda c: dates.is_recent(c, cutoff)) is passes
+    for raw, inside in {"2026-08-02": True, "2026-08-02 late": True, "": False, None: False, "soon": False}.items():
+        assert column(spark, raw, lambda c: dates.in_window(c, "2026-01-01", "2026-09-24")) is inside
+
+
+def test_more_sources(spark, tmp_path):
+    gone = f"file://{tmp_path}/gone.csv"
+    assert files.csv_or_empty(spark, gone, ["a", "b c"]).columns == ["a", "b c"] and files.csv_or_empty(spark, gone, ["a"]).count() == 0
+    (tmp_path / "t.csv").write_text("n,s\n1,x\n2,\n")
+    assert dict(files.csv_inferred(spark, f"file://{tmp_path}/t.csv").dtypes) == {"n": "int", "s": "string"}
+    assert files.csv_or_empty(spark, f"file://{tmp_path}/t.csv", ["n"]).count() == 2
+    (tmp_path / "good.json").write_text('{"a": 1,\n "b": "x"}')
+    (tmp_path / "bad.json").write_text('{"a": ')
+    schema = "a int, b string"
+    assert tuple(files.json_or_default(spark, f"file://{tmp_path}/good.json", schema).first()) == (1, "x")
+    for name in ("bad.json", "gone.json"):
+        assert files.json_or_default(spark, f"file://{tmp_path}/{name}", schema).count() == 0
+        assert tuple(files.json_or_default(spark, f"file://{tmp_path}/{name}", schema, {"a": 7, "b": "d"}).first()) == (7, "d")
+    assert column(spark, "# t\nx\n## a\n1\n## b\n2", files.last_block) == "b\n2"
+
+
+def test_verdict_round_trip(spark):
+    lines = ["b1:3:1:event:PH+BN:-:P001:en:7", "b1:4:0", "b1:4:1", "b1:3", "b2:x:1:c:-:-:-:ms:10"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    again = rows.select("line", files.compact_verdict(F.col("line")).alias("v")).where("v is not null").select("line", files.compact_line(F.col("v")).alias("again")).collect()
+    assert {r["line"] for r in again if r["line"] == r["again"]} == set(lines[:3])
+    latest = {(r["batch"], r["idx"]): r["accept"] for r in files.latest_verdicts(rows, "line", "n").collect()}
+    assert latest[("b1", 4)] is True and latest[("b1", 3)] is True
+    reply = lambda t: column(spark, t, lambda c: files.reply_verdict(c, ["event", "poll"], "other"))
+    assert tuple(reply('Sure: {"accept": true, "category": " POLL ", "score": 1.7} done')) == (True, "poll", 1.0)
+    assert tuple(reply('{"category": "x", "score": -2}')) == (False, "other", 0.0)
+    assert reply("no json") is None
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, 'a "b", c'), (1, None)], "k int, v string")
+    sinks.csv_lines(df, f"file://{tmp_path}/c", ["k"])
+    part = next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part"))
+    assert part.read_bytes() == b'k,v\r\n1,\r\n2,"a ""b"", c"\r\n'
+    staged = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
+    live = spark.createDataFrame([("a", "1"), ("b", "9"), ("z", "0")], "path string, sha256 string")
+    assert {tuple(r) for r in sinks.changed_files(staged, live).collect()} == {("a", "keep"), ("b", "copy"), ("c", "copy")}
+    history = spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int")
+    assert {tuple(r) for r in sinks.same_day_history(history, spark.createDataFrame([("d2", 5)], "day string, n int")).collect()} == {("d1", 1), ("d2", 5)}
+
+
+def test_replacement_that_broke_off_loses_nothing(spark, tmp_path):
+    target = f"file://{tmp_path}/t"
+    sinks.replace_staged(spark.range(3), target)
+    (tmp_path / "t").rename(tmp_path / "t.aside")  # as if the run had ended between the two renames
+    sinks.put_back(spark, target)
+    assert spark.read.parquet(target).count() == 3
+    sinks.replace_staged(spark.range(5), target)
+    assert spark.read.parquet(target).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]

@@ -92,3 +92,24 @@ def carried_forward(counts: DataFrame, order: str, value: str) -> DataFrame:
     """Missing counts take the last recorded one before them."""
     w = Window.partitionBy("name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn(value, F.last(value, ignorenulls=True).over(w))
+
+
+def floors(found: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
+    """(name, n, ok): one-row counts against what a store must never fall below."""
+    out = None
+    for name, count in found.items():
+        row = count.select(F.lit(name).alias("name"), F.col("n"), (F.col("n") >= least[name]).alias("ok"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def lost(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Rows of the old edition that the new one lacks; any at all refuse it."""
+    return before.join(after.select(key).distinct(), key, "left_anti")
+
+
+def partitioned(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """One row: the size of each part, the total, and whether every row lies in exactly one part."""
+    held = sum((F.coalesce(p, F.lit(False)).cast("int") for p in parts.values()), F.lit(0))
+    sizes = [F.count_if(p).alias(name) for name, p in parts.items()]
+    return df.agg(*sizes, F.count("*").alias("total"), F.coalesce(F.bool_and(held == 1), F.lit(True)).alias("ok"))

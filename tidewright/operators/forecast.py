@@ -88,6 +88,17 @@ def with_swings(seats: DataFrame, swings: DataFrame, drift: Drift | None = Drift
     return joined.withColumns({"swing_winner": sw, "swing_runnerup": F.when(named, sr).otherwise(0.0)}).drop("_w", "_r")
 
 
+def base_swings(seats: DataFrame, swings: DataFrame, boundary: DataFrame) -> DataFrame:
+    """winner_base and runnerup_base: a seat's own swing of the bloc (code, bloc, boundary_swing_pp), else the state's, else 0."""
+    out = seats
+    for side in ("winner", "runnerup"):
+        own = boundary.select("code", F.col("bloc").alias(side), F.col("boundary_swing_pp").alias("_own"))
+        state = swings.select("state", F.col("bloc").alias(side), F.col("swing_pp").alias("_state"))
+        out = out.join(own, ["code", side], "left").join(state, ["state", side], "left")
+        out = out.withColumn(f"{side}_base", F.coalesce("_own", "_state", F.lit(0.0))).drop("_own", "_state")
+    return out
+
+
 def projected(seats: DataFrame, extra: Column | None = None) -> DataFrame:
     """proj_winner, proj_margin, flip from margin and swings; the sign is tested before any rounding."""
     raw = F.col("margin") + F.col("swing_winner") - F.col("swing_runnerup")

@@ -1,35 +1,37 @@
-"""Connected components by minimum labels, checkpointed to the shared folder in every round."""
+"""Connected components of a link table, as distributed joins.
 
-from __future__ import annotations
+Every vertex holds the smallest id it has heard of. A round takes the minimum over the neighbours and
+then follows the label's own label, so labels shrink towards the smallest id of the component and
+long chains halve. Each round is written to the shared folder; the loop stops when no label changed.
+Nothing is gathered on the driver but a count.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import materialise
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidewright-shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """(id, label) for every end of a link (a, b); label is the smallest id of the component."""
+    ends = materialise(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).distinct(), "ends")
+    labels = materialise(ends.groupBy("src").agg(F.least("src", F.min("dst")).alias("label")).withColumnRenamed("src", "id"), "labels")
+    for _ in range(rounds):
+        heard = ends.join(labels, ends.dst == labels.id).groupBy("src").agg(F.min("label").alias("heard"))
+        new = labels.join(heard, labels.id == heard.src).select("id", F.col("label").alias("old"), F.least("label", "heard").alias("next"))
+        jump = labels.select(F.col("id").alias("at"), F.col("label").alias("further"))
+        new = new.join(jump, new.next == jump.at, "left").select("id", "old", F.least("next", "further").alias("label"))
+        new = materialise(new, "labels")
+        changed = new.where("old != label").limit(1).count()
+        labels = new.select("id", "label")
+        if not changed:
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
-def connected_components(nodes: DataFrame, ident: str, links: DataFrame, rounds: int = 50) -> DataFrame:
+
+def connected_components(nodes: DataFrame, ident: str, links: DataFrame) -> DataFrame:
     """(ident, component): the smallest id that is reachable; nodes without links are their own component."""
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct()
-    both = _written(both, "links")
-    label = _written(both.groupBy("x").agg(F.least("x", F.min("y")).alias("c")), "labels")
-    for _ in range(rounds):
-        around = both.join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("near"))
-        step = label.join(around, "x").select("x", F.col("c").alias("old"), F.least("c", "near").alias("c"))
-        far = label.select(F.col("x").alias("c"), F.col("c").alias("further"))
-        step = _written(step.join(far, "c", "left").select("x", "old", F.least("c", "further").alias("c")), "labels")
-        label = step.select("x", "c")
-        if not step.where("old != c").limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    found = nodes.select(F.col(ident).alias("x")).join(label, "x", "left")
-    return found.select(F.col("x").alias(ident), F.coalesce("c", "x").alias("component"))
+    found = nodes.select(F.col(ident).alias("id")).join(components(links), "id", "left")
+    return found.select(F.col("id").alias(ident), F.coalesce("label", "id").alias("component"))

@@ -1,8 +1,11 @@
-"""Sessions with the settings that the operators expect."""
+"""Sessions with the settings that the operators expect, and the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidewright", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -13,3 +16,25 @@ def session(app: str = "tidewright", master: str | None = None, partitions: int
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, the place that every executor can read.
+
+    Where the setting is unset, a local session gets a folder under /tmp; on a cluster that is an error,
+    since each executor would write to a disk of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/tidewright-shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

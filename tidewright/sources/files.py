@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,34 @@ def csv_strings(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """CSV whose types Spark infers in a pass over the data."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("inferSchema", True).csv(path)
+
+
+def csv_or_empty(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """CSV with all columns as strings; a missing file is an empty table of ``columns``."""
+    found = csv_strings(spark, path)
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns)) if found is None else found
+
+
+def json_or_default(spark: SparkSession, path: str, schema: str, default: dict | None = None) -> DataFrame:
+    """One JSON document as a row; the default's row (or none) where the file is missing or isn't JSON."""
+    empty = spark.createDataFrame([default] if default is not None else [], schema)
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return empty
+    bad = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
+    rows = raw.select(bad).where("r is not null and r._bad is null").select("r.*").drop("_bad")
+    return rows if rows.limit(1).count() else empty
+
+
+def last_block(text: Column, heading: str = "\n## ") -> Column:
+    """The last block of a log that starts with a heading; the whole text without one."""
+    return F.element_at(F.split(text, heading), -1)
+
+
 def csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV by an explicit schema; lines that don't fit it are kept in ``_corrupt_record``."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -111,3 +141,30 @@ def compact_verdict(line: Column) -> Column:
     full = F.size(p) == 9
     body = F.struct(at(0).alias("batch"), at(1).try_cast("int").alias("idx"), at(2).isin("1", "true", "accept").alias("accept"), F.when(full, at(3)).alias("category"), F.when(full, listed(at(4))).alias("blocs"), F.when(full, listed(at(5))).alias("parties"), F.when(full, listed(at(6))).alias("seats"), F.when(full, at(7)).alias("lang"), F.when(full, at(8).try_cast("double") / 10.0).alias("score"))
     return F.when(full | (F.size(p) == 3), body)
+
+
+def compact_line(verdict: Column) -> Column:
+    """The line that :func:`compact_verdict` reads as this struct; empty lists are '-'."""
+
+    def listed(c: Column) -> Column:
+        return F.when(F.size(c) > 0, F.array_join(c, "+")).otherwise("-")
+
+    head = F.concat_ws(":", verdict["batch"], verdict["idx"].cast("string"), F.when(verdict["accept"], "1").otherwise("0"))
+    rest = F.concat_ws(":", verdict["category"], listed(verdict["blocs"]), listed(verdict["parties"]), listed(verdict["seats"]), verdict["lang"], F.round(verdict["score"] * 10).cast("int").cast("string"))
+    return F.when(verdict["category"].isNull(), head).otherwise(F.concat_ws(":", head, rest))
+
+
+def latest_verdicts(lines: DataFrame, line: str, order: str) -> DataFrame:
+    """Verdicts of a log: of the lines for one item (batch, idx) the last one counts; unreadable lines don't."""
+    rows = lines.select(F.col(order), compact_verdict(F.col(line)).alias("v")).where("v is not null")
+    return rows.groupBy("v.batch", "v.idx").agg(F.max_by("v", F.col(order)).alias("v")).select("v.*")
+
+
+def reply_verdict(reply: Column, vocabulary: Sequence[str], default: str) -> Column:
+    """A model's JSON reply, with or without text around it: the category in the vocabulary (else the default), the score in [0, 1]."""
+    body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    v = F.from_json(body, "accept boolean, category string, score double")
+    category = F.lower(F.trim(v["category"]))
+    score = F.least(F.greatest(F.coalesce(v["score"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    known = F.when(category.isin(*vocabulary), category).otherwise(default)
+    return F.when(v.isNotNull() & (body != ""), F.struct(F.coalesce(v["accept"], F.lit(False)).alias("accept"), known.alias("category"), score.alias("score")))

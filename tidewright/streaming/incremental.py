@@ -30,10 +30,11 @@ def with_pending(target: str, pending: str, keys: Sequence[str], accept: Column)
     """For foreachBatch: accepted rows go to the target, the others wait and are tried again before new ones."""
     import uuid
 
-    from tidewright.sources.sinks import _exists, replace_staged
+    from tidewright.sources.sinks import _exists, _fs, _path, put_back, replace_staged
 
     def each(batch: DataFrame, _: int) -> None:
         held = batch
+        put_back(batch.sparkSession, pending)
         if _exists(batch, pending):
             held = batch.sparkSession.read.schema(batch.schema).parquet(pending).unionByName(batch)
         held = held.dropDuplicates(list(keys))
@@ -42,6 +43,7 @@ def with_pending(target: str, pending: str, keys: Sequence[str], accept: Column)
         held = batch.sparkSession.read.schema(batch.schema).parquet(snapshot)
         append_new(held.where(F.coalesce(accept, F.lit(False))), target, keys)
         replace_staged(held.where(~F.coalesce(accept, F.lit(False))), pending)
+        _fs(batch, snapshot).delete(_path(batch, snapshot), True)
 
     return each
 
