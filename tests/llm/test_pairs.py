@@ -10,7 +10,8 @@ import re
 import numpy as np
 import pytest
 
-from tidewright.llm import ann, components, fingerprints, neardup, shingles
+from tidewright.llm import ann, fingerprints, neardup, shingles
+from tidewright.operators import graph
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -106,7 +107,7 @@ def test_register_estimate_is_close():
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 90), (90, 95)], "a long, b long")
-    got = {r["id"]: r["label"] for r in components.components(links).collect()}
+    got = {r["id"]: r["label"] for r in graph.components(links).collect()}
     assert all(got[i] == 0 for i in range(51)) and {got[i] for i in (90, 95, 100)} == {90}
 
 
@@ -164,6 +165,26 @@ def test_successor_crosses_ranges(spark):
         assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest()
 
 
+def test_fingerprints_of_sparse_repeated_and_missing_ids(spark):
+    """Random 64-bit ids, a third of all rows without an id or with one id, and equal rows."""
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    ids = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 1500)] + [None] * 500 + [77] * 500
+    rows = [(i, f"w{k % 40} x{k % 7} the end") for k, i in enumerate(ids)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], int.from_bytes(xxhash.xxh64(r[1].encode(), seed=42).digest(), "big", signed=True)), reverse=True)
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        o, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + o[:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    by_text = {}
+    for r in got:
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        by_text.setdefault((r["n_chars"], r["fingerprint"]), r)
+
+
 # --- 4: nearest neighbours ---------------------------------------------------------------------------
 
 
@@ -224,6 +245,33 @@ def test_near_copies_share_codes(spark, noise):
 # --- pipeline -----------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing):
+    """Nulls in every column, empty and very long texts, repeated rows, names that clash with the stages' own."""
+    import corpus_pipeline
+
+    clashing = awkward.withColumnsRenamed({"rep": "language", "k0": "toxicity", "label": "row"})
+    for docs in (clashing, clashing.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001").collect()
+            rows = [tuple(r) for r in docs.collect()]
+            if name == "packing":
+                assert sum(r["length"] for r in out) == sum(dict((r["doc_id"], r["doc_tokens"]) for r in out if r["start"] == 0 and r["doc_id"] == i).get(i, 0) * n for i, n in collections.Counter(r[0] for r in rows).items())
+                continue
+            assert list(out[0].__fields__) == columns if out else not rows or name == "language"
+            kept = [tuple(r) for r in out]
+            if name == "language":
+                assert not any(r[0] in (3, 4, 5) for r in kept) and set(kept) <= set(rows)
+            if name == "toxicity":
+                assert set(kept) <= set(rows)
+            if name == "near_dedup":
+                assert set(kept) <= set(rows)
+                assert sum(r[1] == rows[0][1] for r in kept) == (1 if rows else 0), "of repeated texts one stays"
+                assert {r[0] for r in rows} - {r[0] for r in kept} <= {1, 2, -5, None}
+            if name == "secrets":
+                assert len(kept) == len(rows) and not any("abcdef123" in (r[1] or "") for r in kept)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

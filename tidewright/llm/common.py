@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows longer than this are left out of *training* samples (never out of scoring).
-MAX_TRAIN_CHARS = 50_000
+from tidewright.session import materialise, shared_dir
+
+__all__ = ["fold", "map_batches", "materialise", "release", "shared_dir", "slices", "table", "text_columns", "text_slices", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,42 +27,16 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, the place that every executor can read.
-
-    Where the setting is unset (tests on one machine), a folder under /tmp is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/tidewright-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder that :func:`shared_dir` named, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def slices(column: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 values) for runs of rows of about ``max_bytes``; null is the empty text.
 
-    A run holds one row at least, so memory is bounded by ``max_bytes`` plus the longest text.
+    A run holds one row at least. Spark delivers whole batches (10,000 rows or 64 MB, whichever ends
+    first), so a worker holds a batch, one run of it, and at most one text beyond that.
     """
-    values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
     start, size, out = 0, 0, []
-    for i, value in enumerate(values):
-        raw = value.as_py() or b""
+    for i, value in enumerate(column):
+        raw = value.as_buffer()
+        raw = b"" if raw is None else raw.to_pybytes()
         if out and size + len(raw) > max_bytes:
             yield start, out
             start, size, out = i, 0, []
@@ -69,31 +46,50 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000)
         yield start, out
 
 
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """:func:`slices` of a batch's column."""
+    return slices(batch.column(batch.schema.get_field_index(column)), max_bytes)
+
+
+def release() -> None:
+    """Give the memory that a finished task no longer needs back to the system; workers are reused."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_columns(df: DataFrame, fields: str, setup: Callable[[], Callable[[list[bytes]], list[pa.Array]]], keep: list[str] | None = None, max_bytes: int = 1_000_000) -> DataFrame:
     """The columns ``keep`` of ``df`` (all: None) and new ones made from the column ``text``; no shuffle.
 
     ``setup()`` is called once per task and returns the function of a list of UTF-8 texts that gives
-    one Arrow array for each of ``fields`` (a DDL list). A new column takes the place of an old one of
-    the same name.
+    one Arrow array for each of ``fields`` (a DDL list). Texts go to Python only, and only the new columns
+    come back; the others stay in the JVM. A new column takes the place of an old one of the same name.
     """
     new = [x.strip().split()[0] for x in fields.replace("<", " <").split(", ")]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    others = [c for c in kept if c != "text"]  # the text itself is sent once
-    source = df.select("text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)])
-    sent = ["text"] * ("text" in kept) + [f"k{i}" for i in range(len(others))]
-    names = sent + new
-    schema = ", ".join([*(f"{c} {source.schema[c].dataType.simpleString()}" for c in sent), fields])
+    found = unused(df, "found")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         each = setup()
-        for batch in batches:
-            for start, texts in text_slices(batch, "text", max_bytes):
-                old = [batch.column(c).slice(start, len(texts)) for c in sent]
-                yield pa.RecordBatch.from_arrays([*old, *each(texts)], names)
+        for column in texts:
+            parts = [pa.StructArray.from_arrays(each(some), names=new) for _, some in slices(column, max_bytes)]
+            yield pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else pa.array([], kind)
+        del each
+        release()
+
+    # not deterministic, to Spark: else a filter on the result would compute it twice
+    score = F.arrow_udf(run, fields).asNondeterministic()
+    kind = to_arrow_type(score.returnType)
+    out = df.select(*[F.col(f"`{c}`") for c in kept], score(F.col("text")).alias(found))
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(found)[c].alias(c) for c in new])
+
 
-    out = source.mapInArrow(run, schema)
-    back = dict(zip(others, sent[-len(others) :] if others else [], strict=True)) | {"text": "text"}
-    return out.select(*[F.col(back[c]).alias(c) for c in kept], *new)
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as it takes to be no column of ``df``, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_batches(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -104,5 +100,7 @@ def map_batches(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], It
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        del each
+        release()
 
     return df.mapInArrow(run, schema)

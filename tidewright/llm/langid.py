@@ -13,29 +13,33 @@ probabilities of distinct words in a bounded cache.
 Defined results: null texts and texts without a letter are ``und`` with score 0. Without training rows
 every text is ``und``. Ties go to the language that sorts first. Score is the language's posterior,
 with languages equally likely beforehand. Repeated rows get equal results; columns other than the
-named ones are ignored.
+named ones are ignored. Very long texts are scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import sampling
-from tidewright.llm.common import MAX_TRAIN_CHARS, fold, text_columns
+from tidewright.llm.common import fold, materialise, text_columns
+from tidewright.llm.shingles import _BASE, _INVERSE, mix, powers
+from tidewright.llm.token_ids import Table
 
 DEFAULT_PIECES = "piece_bpe_32k.model"
 UNKNOWN = 1e-7
 LONGEST_WORD = 40
 CACHE_WORDS = 300_000
-words_of = re.compile(r"[^\W\d_]+").findall
+_U = np.uint64
+#: Runs of letters, of the Unicode categories L.
+words_of = regex.compile(r"\p{L}+").findall
 
 
 @dataclass(frozen=True)
@@ -54,30 +58,52 @@ def vocabulary(name: str = DEFAULT_PIECES) -> dict[str, int]:
     out: dict[str, int] = {}
     for i in range(pieces.get_piece_size()):
         piece = pieces.id_to_piece(i)
-        if not (pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_byte(i)) and re.fullmatch(r"▁?[^\W\d_]*", piece) and piece == piece.lower():
+        if not (pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_byte(i)) and piece.removeprefix("▁").isalpha() | (piece == "▁") and piece == piece.lower():
             out.setdefault(piece, len(out))
     return out
 
 
-def lattice(words: list[str], pieces: dict[str, int], longest: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """(start, end) -> words and pieces that lie there; every single character has a piece, the last id at least."""
-    unknown, found = len(pieces), {}
-    get = pieces.get
-    for k, word in enumerate(words):
-        n = len(word)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(word[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = unknown
-                entry = found.get((i, j))
-                if entry is None:
-                    found[i, j] = entry = ([], [])
-                entry[0].append(k)
-                entry[1].append(p)
-    return {at: (np.array(a), np.array(b)) for at, (a, b) in found.items()}
+class Index:
+    """Finds the pieces among all stretches of words by their 64-bit hashes, as array operations."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.longest, self.unknown = max(map(len, pieces)), len(pieces)
+        self.table = Table(len(pieces))
+        order = sorted(pieces, key=pieces.__getitem__)  # entry k of the table is piece k
+        hashes = np.empty(len(order), np.uint64)
+        sizes = np.array([len(x) for x in order])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            hashes[at] = self._sums([order[i] for i in at])[:, n]
+        self.table.add(mix(hashes), np.ones(len(order), np.int64), np.arange(len(order), dtype=np.uint32))
+
+    @staticmethod
+    def _sums(words: list[str]) -> np.ndarray:
+        """Sums [word, position] of mixed characters times powers, for words of one length."""
+        n = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+        out = np.zeros((len(words), n + 1), np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64) + _U(1)) * powers(_BASE, n), axis=1, out=out[:, 1:])
+        return out
+
+    def lattice(self, words: list[str], at_once: int = 4096) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(start, end) -> words and pieces that lie there, for words of one length; every character has a piece, the last id at least."""
+        n = len(words[0])
+        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + self.longest) + 1)]
+        start, end = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
+        shift, parts = powers(_INVERSE, n)[start], []
+        for k in range(0, len(words), at_once):
+            sums = self._sums(words[k : k + at_once])
+            hashes = mix((sums[:, end] - sums[:, start]) * shift)
+            parts.append(self.table.find(hashes.reshape(-1)).astype(np.int32).reshape(hashes.shape))
+        found = np.concatenate(parts).T.copy()
+        found[(end == start + 1)[:, None] & (found < 0)] = self.unknown
+        out = {}
+        for span, pieces in zip(spans, found, strict=True):
+            k = np.flatnonzero(pieces >= 0)
+            if k.size:
+                out[span] = k, pieces[k]
+        return out
 
 
 def forward(words: list[str], edges: dict, prob: np.ndarray) -> np.ndarray:
@@ -118,7 +144,7 @@ def add_expected(expected: np.ndarray, word: str, weight: np.ndarray, pieces: di
             expected[p] += here * share
 
 
-def word_scores(words: list[str], pieces: dict[str, int], longest: int, prob: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], pieces: dict[str, int], index: Index, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, summed over all segmentations."""
     out = np.zeros((len(words), prob.shape[1]))
     sizes = np.array([len(w) for w in words])
@@ -127,10 +153,10 @@ def word_scores(words: list[str], pieces: dict[str, int], longest: int, prob: np
         group = ["▁" + words[i] for i in at]
         if n > LONGEST_WORD:
             for i, word in zip(at, group, strict=True):
-                for _, step, _ in scaled(word, pieces, longest, prob):
+                for _, step, _ in scaled(word, pieces, index.longest, prob):
                     out[i] += np.log(step)
             continue
-        alpha = forward(group, lattice(group, pieces, longest), prob)
+        alpha = forward(group, index.lattice(group), prob)
         out[at] = np.log(alpha[n + 1])
     return out
 
@@ -138,7 +164,8 @@ def word_scores(words: list[str], pieces: dict[str, int], longest: int, prob: np
 def expectation_maximisation(counts: dict[str, Counter], pieces: dict[str, int], settings: Settings) -> tuple[list[str], np.ndarray]:
     """Languages and prob[piece, language], from word counts of each language."""
     languages = sorted(counts)
-    longest = max(map(len, pieces))
+    index = Index(pieces)
+    longest = index.longest
     words = sorted({"▁" + w for c in counts.values() for w in c})
     slot = {w: k for k, w in enumerate(words)}
     weight = np.zeros((len(words), len(languages)))
@@ -150,7 +177,7 @@ def expectation_maximisation(counts: dict[str, Counter], pieces: dict[str, int],
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
         group = [words[i] for i in at]
-        groups.append((n, at, group, lattice(group, pieces, longest) if n <= LONGEST_WORD + 1 else None))
+        groups.append((n, at, group, index.lattice(group) if n <= LONGEST_WORD + 1 else None))
     v = len(pieces)
     # start: longer pieces are likelier than the product of their characters
     prob = np.full((v + 1, len(languages)), 1.0 / v)
@@ -196,15 +223,13 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings(), pieces_
 
 def fit(docs: DataFrame, settings: Settings = Settings(), pieces_name: str = DEFAULT_PIECES) -> Model:
     """Train on a bounded sample of rows with a language, a hash's first of each (the caller leaves out held-out rows)."""
-    known = docs.select("doc_id", "lang").where("lang is not null")
-    names = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]
-    cuts = {name: sampling.first_by_hash(known.where(F.col("lang") == name), settings.rows_per_language) for name in names}
-    if not cuts:
-        return train([], settings, pieces_name)
-    bounds = docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut long")
-    rows = docs.select("lang", "text", "doc_id").join(F.broadcast(bounds), "lang").where(sampling.hashed_id() <= F.col("cut")).where(F.char_length("text") <= MAX_TRAIN_CHARS)
-    sample = rows.select("lang", "text").limit(settings.rows_per_language * len(cuts)).collect()
-    return train([(r["lang"], r["text"]) for r in sample], settings, pieces_name)
+    known = docs.where("lang is not null").select("lang", sampling.hashed_id().alias("h"))
+    first = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= settings.rows_per_language)
+    bounds = materialise(first.groupBy("lang").agg(F.max("h").alias("cut"), F.max("nth").alias("nth")), "language-cuts")
+    rows = docs.select("lang", "text", "doc_id").join(bounds, "lang").where(sampling.hashed_id() <= F.col("cut")).where("text is not null")
+    # rows that tie with the last one beyond the bound are left out again
+    sample = rows.select("lang", "text").limit(bounds.agg(F.sum("nth")).first()[0] or 0).collect()
+    return train(sorted((r["lang"], r["text"]) for r in sample), settings, pieces_name)
 
 
 class Scorer(dict):
@@ -212,7 +237,7 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.longest = model, max(map(len, model.pieces))
+        self.model, self.index = model, Index(model.pieces)
         self.rows = np.zeros((CACHE_WORDS, len(model.languages)))
 
     def add(self, words: set[str]) -> None:
@@ -222,7 +247,7 @@ class Scorer(dict):
         if len(self) + len(missing) > len(self.rows):
             self.clear()
             missing = list(words)
-        scores = word_scores(missing, self.model.pieces, self.longest, self.model.prob)
+        scores = word_scores(missing, self.model.pieces, self.index, self.model.prob)
         first = len(self)
         if len(missing) > len(self.rows):
             self.rows = np.zeros((len(missing), self.rows.shape[1]))

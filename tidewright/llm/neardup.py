@@ -25,7 +25,7 @@ With 32 bands of 4 registers a pair at the threshold 0.8 shares no bucket with a
 Defined results: null and empty texts (and those without words) have no shingles and are linked with
 nothing. Rows with a null id get their own counts, a null component, and are kept. Rows that share an
 id are one document in the links, and each is returned. An empty table gives no rows. Other columns
-are ignored.
+are ignored. Very long texts are shingled whole, one slice of texts at a time.
 """
 
 from __future__ import annotations
@@ -37,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches, materialise, text_columns
-from tidewright.llm.components import components
+from tidewright.llm.common import map_batches, materialise, text_columns, unused
 from tidewright.llm.shingles import Shingler, mix
+from tidewright.operators.graph import components
+from tidewright.session import drop
 
 BUCKETS, BAND_ROWS = 128, 4
 BANDS = BUCKETS // BAND_ROWS
@@ -308,25 +309,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     own = F.col("doc_id") == F.col("rep")
     placed = placed.select("doc_id", "n_shingles", "rep", F.when(own, F.col("registers")).alias("registers"), F.when(own, F.col("bands")).alias("bands"))
     placed = materialise(placed, "classes")
+    drop(sketched)
     reps = placed.where("bands is not null")
     sketches = reps.select("rep", "registers")
     rows = reps.select(F.explode("bands").alias("band"), "rep")
     # only buckets with several members go on
     sizes = rows.groupBy("band").agg(F.count("*").alias("n_members")).where("n_members > 1")
-    rows = materialise(rows.join(sizes, "band"), "bands")
+    bands = rows = materialise(rows.join(sizes, "band"), "bands")
     company = rows.groupBy("rep").agg(F.sum("n_members").alias("company"))
     pivots = rows.select("band", "rep").join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct(F.col("company"), (-F.col("rep")).alias("r"))).alias("pivot"))
     rows = materialise(rows.join(pivots, "band"), "pivots")
+    drop(bands)
     star = rows.where("rep != pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     star = materialise(_estimated(star, sketches, least), "star")
     links = materialise(_confirmed(star, docs, width, part, whole), "links")
+    drop(star)
     labels = components(links)
     marked = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     marked = materialise(marked, "marked")
+    drop(rows)
     open_buckets = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi and lo is not null")
     # a bucket of two has been examined: its only pair was with the pivot
     members = marked.where("n_members > 2").join(open_buckets.select("band"), "band", "left_semi").join(sketches.dropDuplicates(["rep"]), "rep")
     further = materialise(_unsettled_links(members, docs, width, part, whole), "further")
+    drop(marked)
     if further.limit(1).count():
         labels = components(links.union(further))
     out = placed.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
@@ -335,7 +341,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """``docs`` with all its columns, and of each group of near duplicates only the document with the smallest id."""
-    found = near_duplicates(docs, width, part, whole)
-    dropped = _hinted(materialise(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
+    """``docs`` with all its columns, and one row of each group of near duplicates: the first as ``docs`` lies on disk.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, are documents
+    like others: repeated ones leave one, and a row that is linked with nothing stays.
+    """
+    row = unused(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), width, part, whole)
+    dropped = _hinted(materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias(row)), "dropped"))
+    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,8 +5,8 @@ loss-bearing tokens) and a sequence has a limit for each. Into the open sequence
 those that fit, whose sizes have the largest weighted dot product with the room left; the weight of a
 dimension is its total demand against its limit. Items may be cut: a document longer than a sequence
 gives whole sequences first, and where nothing fits the best item is cut to fill the room exactly.
-What is left at the end of a task goes into sequences whose lengths are powers of two, which need no
-padding.
+A sequence that ends before it is full, by another limit or at the end of a task, is cut into sequences
+whose lengths are powers of two, which need no padding.
 
 A task packs its own rows from a bounded buffer and carries its open sequence over to the next
 buffer, so there is no shuffle and no task gathers more than a buffer. Sequence ids hold the task's
@@ -14,7 +14,7 @@ partition number in their upper bits. The result depends on the order of rows in
 that runs again reads the same file part, and rows of a lost task are never mixed with another run's.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed each for itself.
-An empty table gives no rows. Items of equal size are taken in the order of reading. Columns other
+An empty table gives no rows; a very long text is cut. Items of equal size are taken in the order of reading. Columns other
 than the named ones are ignored.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,19 +32,19 @@ from pyspark.sql import DataFrame
 
 from tidewright.llm import token_ids
 from tidewright.llm.bpe import DEFAULT_VOCABULARY
-from tidewright.llm.common import text_slices
+from tidewright.llm.common import release, text_slices
 
 END_ID = 1
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence may hold; ``buffer`` bounds the documents a task holds at once."""
+    """What a sequence may hold; ``buffer`` bounds the ids that a task holds at once (beside one document's)."""
 
     tokens: int = 2048
     segments: int = 256
     loss_tokens: int = 2048
-    buffer: int = 2048
+    buffer: int = 1_000_000
 
 
 @dataclass
@@ -161,43 +161,49 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = DEFAULT_V
         next_id = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held: dict[int, tuple[int | None, bytes]] = {}  # document number -> doc_id and ids
         masked: dict[int, int] = {}
-        opened, number = Sequence(), 0
+        opened, number, ids_held = Sequence(), 0, 0
         waiting: list[tuple[int, int, int]] = []
 
         def rows(sequences: list[Sequence]) -> pa.RecordBatch:
             nonlocal next_id
             out: list[tuple] = []
+            pieces: list[bytes] = []
             for s in sequences:
                 offset = 0
                 for n, start, length in s.pieces:
                     doc_id, raw = held[n]
                     piece = raw[4 * start : 4 * (start + length)]
-                    row = (doc_id, start, length, zlib.crc32(piece), len(raw) // 4, next_id, offset)
-                    out.append((*row, np.frombuffer(piece, "<u4").astype(np.int32)) if with_ids else row)
+                    out.append((doc_id, start, length, zlib.crc32(piece), len(raw) // 4, next_id, offset))
+                    if with_ids:
+                        pieces.append(piece)
                     offset += length
                 next_id += 1
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-            names = [x.split()[0] for x in schema.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in pieces])])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<u4").astype(np.int32))))
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        def flush(last: bool) -> Generator[pa.RecordBatch, None, int]:
             nonlocal opened, waiting
             done, opened = pack_items(waiting, limits, masked, opened)
             waiting = []
             if last:
-                done += powers_of_two(opened)
+                done.append(opened)
                 opened = Sequence()
-            if done:
-                yield rows(done)
+            done = [part for s in done for part in ([s] if s.tokens == limits.tokens else powers_of_two(s))]
+            for k in range(0, len(done), 512):
+                yield rows(done[k : k + 512])
             keep = {n for n, _, _ in opened.pieces}
             for n in [n for n in held if n not in keep]:
                 del held[n]
                 masked.pop(n, None)
+            return sum(len(raw) for _, raw in held.values()) // 4
 
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_pylist()
             prompts = batch.column(2).cast(pa.large_binary()) if prompt_column else None
-            for first, texts in text_slices(batch, "text", 2_000_000):
+            for first, texts in text_slices(batch, "text"):
                 leads = encode([prompts[first + k].as_py() or b"" for k in range(len(texts))]) if prompts is not None else None
                 for k, raw in enumerate(encode(texts)):
                     if leads is not None and leads[k]:
@@ -207,15 +213,16 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = DEFAULT_V
                     held[number] = ids[first + k], raw
                     n = len(raw) // 4
                     whole = n // limits.tokens * limits.tokens if not masked.get(number) else 0
-                    full = [Sequence([(number, s, limits.tokens)], limits.tokens) for s in range(0, whole, limits.tokens)]
-                    if full:
-                        yield rows(full)
+                    for s in range(0, whole, 512 * limits.tokens):
+                        yield rows([Sequence([(number, at, limits.tokens)], limits.tokens) for at in range(s, min(whole, s + 512 * limits.tokens), limits.tokens)])
                     while whole < n:
                         waiting.append((number, whole, min(limits.tokens, n - whole)))
                         whole += limits.tokens
                     number += 1
-                if len(held) >= limits.buffer:
-                    yield from flush(False)
+                    ids_held += n
+                    if ids_held >= limits.buffer:
+                        ids_held = yield from flush(False)
         yield from flush(True)
+        release()
 
     return docs.select(*columns).mapInArrow(run, schema)

@@ -11,7 +11,8 @@ its weights are one array of fixed size. Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts get the score of a text without n-grams. With one class or no
 labels at all every score is the share of good rows (0.5 without rows). Repeated rows get equal
-scores; columns other than doc_id and text are ignored.
+scores; very long texts are scored whole; an empty table gives no rows; columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations

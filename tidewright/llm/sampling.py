@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import MAX_TRAIN_CHARS
-
 
 def hashed_id(column: str = "doc_id"):
     return F.xxhash64(F.col(column))
@@ -21,13 +19,12 @@ def first_by_hash(rows: DataFrame, n: int, column: str = "doc_id") -> int | None
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, n: int) -> list[tuple[str, int]]:
     """At most ``n`` (text, label) pairs, chosen by the ids' hash; null texts and labels don't count.
 
-    Texts over MAX_TRAIN_CHARS characters are left out of training. If an id has several label rows,
-    the largest label holds.
+    If an id has several label rows, the largest label holds.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     cut = first_by_hash(known, n)
     if cut is None:
         return []
     chosen = F.broadcast(known.where(hashed_id() <= cut).limit(n))  # at most n rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.char_length("text") <= MAX_TRAIN_CHARS)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null")
     return [(r["text"], r["y"]) for r in rows.select("text", "y").limit(n).collect()]

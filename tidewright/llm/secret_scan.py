@@ -15,7 +15,8 @@ dropped, after it was found. Spans count code points, the end is exclusive; they
 then by the rules' order.
 
 Defined results: null and empty texts have no spans, and the digest is that of the empty string.
-Repeated rows get equal results; extra columns are ignored (``redact`` keeps them).
+Repeated rows get equal results; very long texts are scanned whole; an empty table gives no rows; extra
+columns are ignored (``redact`` keeps them).
 """
 
 from __future__ import annotations

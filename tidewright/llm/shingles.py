@@ -25,20 +25,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    out, step = np.ones(1, np.uint64), base
+    while out.size < n:
+        out = np.concatenate([out, out * _U(step)])
+        step = step * step % (1 << 64)
+    return out[:n]
+
+
 class Shingler:
     def __init__(self, width: int):
         self.width = width
         self._grow(1 << 16)
 
     def _grow(self, n: int) -> None:
-        def powers(base: int) -> np.ndarray:
-            out, step = np.ones(1, np.uint64), base
-            while out.size < n:
-                out = np.concatenate([out, out * _U(step)])
-                step = step * step % (1 << 64)
-            return out
-
-        self.power, self.inverse = powers(_BASE), powers(_INVERSE)
+        n = 1 << (n - 1).bit_length()
+        self.power, self.inverse = powers(_BASE, n), powers(_INVERSE, n)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""

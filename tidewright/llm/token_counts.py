@@ -10,7 +10,9 @@ groups within files, so that no task gathers all blocks of a file.
 
 Defined results: ids after the last separator of a file are a document that isn't ended
 (``ended`` false). Two separators in a row are an empty document. An empty file has no documents.
-A null or empty text is a document of no ids. Repeated rows are documents of their own.
+A null or empty text is a document of no ids; a very long text lies across several blocks. Repeated rows
+and rows with equal ids are documents of their own. An empty table gives no rows. Columns other than doc_id
+and text are ignored. An id that doesn't fit below the separator is an error.
 """
 
 from __future__ import annotations
@@ -57,9 +59,12 @@ def write_token_stream(docs: DataFrame, path: str, vocabulary: str = DEFAULT_VOC
 
         for batch in batches:
             names = batch.column(0).cast(pa.int64()).to_pylist()
-            for start, texts in text_slices(batch, "text", 2_000_000):
+            for start, texts in text_slices(batch, "text"):
                 for raw in encode(texts):
-                    parts += [np.frombuffer(raw, "<u4").astype("<u2"), stop]
+                    ids = np.frombuffer(raw, "<u4")
+                    if ids.size and ids.max() >= separator:
+                        raise ValueError(f"id {ids.max()} doesn't fit a stream whose separator is {separator}")
+                    parts += [ids.astype("<u2"), stop]
                     held += parts[-2].size + 1
                 yield row("order", written, None, names[start : start + len(texts)])
                 written += len(texts)

@@ -16,8 +16,8 @@ the table; it is trained on the driver and its words go to the tasks. Scoring is
 shuffle.
 
 Defined results: null, empty and wordless texts get the score of a text without known words. Without
-positive examples every score is 0. Repeated rows get equal scores; columns other than doc_id and
-text are ignored.
+positive examples every score is 0. Very long texts are scored whole. Repeated rows get equal scores; an
+empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import sampling
-from tidewright.llm.common import MAX_TRAIN_CHARS, fold, text_columns
+from tidewright.llm.common import fold, text_columns
 
 words_of = re.compile(r"[^\W\d_]+").findall
 #: Lengths of word beginnings that are features.
@@ -96,6 +96,31 @@ def _flat(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.nda
     return cols[cols >= 0], owner[cols >= 0]
 
 
+Sample = tuple[np.ndarray, np.ndarray, int]
+
+
+def risk(w: np.ndarray, positive: Sample, unlabelled: Sample, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two terms of the risk at weights ``w`` (the bias last), the second not yet cut off at zero, and their gradients.
+
+    A sample has flat (feature, row) arrays and its number of rows. The loss is the logistic one.
+    """
+
+    def margins(sample: Sample) -> np.ndarray:
+        return np.bincount(sample[1], weights=w[sample[0]], minlength=sample[2]) + w[-1]
+
+    def back(sample: Sample, slope: np.ndarray) -> np.ndarray:
+        g = np.bincount(sample[0], weights=slope[sample[1]], minlength=w.size)[: w.size]
+        g[-1] = slope.sum()
+        return g
+
+    zp, zu = margins(positive), margins(unlabelled)
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -60, 60))), 1 / (1 + np.exp(-np.clip(zu, -60, 60)))
+    n_p, n_u = positive[2], unlabelled[2]
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_neg = back(unlabelled, su / n_u) - back(positive, prior * sp / n_p)
+    return prior * np.logaddexp(0, -zp).mean(), negative, back(positive, prior * (sp - 1) / n_p), g_neg
+
+
 def train(positive: list[str], unlabelled: list[str], prior: float, settings: Settings = Settings()) -> Model:
     """The model of confirmed toxic texts, unlabelled texts and the share of toxic ones among the latter."""
     if not positive or not unlabelled or prior <= 0:
@@ -116,22 +141,9 @@ def train(positive: list[str], unlabelled: list[str], prior: float, settings: Se
     w[-1] = b
     m, v = np.zeros(d + 1), np.zeros(d + 1)
 
-    def margin(cols: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(rows, weights=w[cols], minlength=n) + w[-1]
-
-    def back(cols: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        g = np.zeros(d + 1)
-        g[:d] = np.bincount(cols, weights=slope[rows], minlength=d)[:d]
-        g[-1] = slope.sum()
-        return g
-
     l1 = settings.l1 * np.sqrt(settings.positives / n_p)  # few examples: only strong words keep a weight
     for step in range(1, settings.steps + 1):
-        zp, zu = margin(pc, pr, n_p), margin(uc, ur, n_u)
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -60, 60))), 1 / (1 + np.exp(-np.clip(zu, -60, 60)))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = back(pc, pr, prior * (sp - 1) / n_p)
-        g_neg = back(uc, ur, su / n_u) - back(pc, pr, prior * sp / n_p)
+        _, negative, g_pos, g_neg = risk(w, (pc, pr, n_p), (uc, ur, n_u), prior)
         g = g_pos + g_neg if negative >= 0 else -g_neg
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = settings.rate * (1 - 0.9 * step / settings.steps)
@@ -152,9 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     if cut is None or others is None:
         return Model({}, -1000.0)
     chosen = F.broadcast(ids.where(sampling.hashed_id() <= cut).limit(settings.positives).withColumn("p", F.lit(True)))
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= MAX_TRAIN_CHARS).join(chosen, "doc_id", "left")
+    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id", "left")
     rows = rows.select("text", F.coalesce("p", F.lit(False)).alias("p"), (sampling.hashed_id() <= others).alias("u")).where("p or u")
-    sample = rows.limit(settings.positives + settings.unlabelled).collect()
+    sample = sorted(rows.limit(settings.positives + settings.unlabelled).collect())  # whatever order Spark returns them in
     return train([r["text"] for r in sample if r["p"]], [r["text"] for r in sample if r["u"]], prior, settings)
 
 
