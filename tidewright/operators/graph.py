@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import materialise
+from tidewright.session import drop, materialise
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
@@ -19,15 +19,16 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     ends = materialise(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).distinct(), "ends")
     labels = materialise(ends.groupBy("src").agg(F.least("src", F.min("dst")).alias("label")).withColumnRenamed("src", "id"), "labels")
     for _ in range(rounds):
-        heard = ends.join(labels, ends.dst == labels.id).groupBy("src").agg(F.min("label").alias("heard"))
+        heard = ends.join(labels.select("id", "label"), ends.dst == F.col("id")).groupBy("src").agg(F.min("label").alias("heard"))
         new = labels.join(heard, labels.id == heard.src).select("id", F.col("label").alias("old"), F.least("label", "heard").alias("next"))
         jump = labels.select(F.col("id").alias("at"), F.col("label").alias("further"))
         new = new.join(jump, new.next == jump.at, "left").select("id", "old", F.least("next", "further").alias("label"))
-        new = materialise(new, "labels")
-        changed = new.where("old != label").limit(1).count()
-        labels = new.select("id", "label")
+        before, labels = labels, materialise(new, "labels")
+        changed = labels.where("old != label").limit(1).count()
+        drop(before)
         if not changed:
-            return labels
+            drop(ends)
+            return labels.select("id", "label")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
