@@ -12,15 +12,16 @@ chance of sum(min) / sum(max) of their weights, the generalised Jaccard similari
 ln a as a fixed-point number stands in the upper 32 bits of a long, and 31 bits of the sample's
 identity below, so a slot is a plain minimum of longs: hash aggregation in generated code.
 
-The text goes through one shuffle: ids are cut to ranges of 2^8, a range's rows meet in one task,
-which knows every row's successor but the last one's; that is the first row of the next range with
-rows, found on the list of ranges in two levels. Counting and sampling need no shuffle of their own,
-as their groups lie within ranges.
+The text goes through one shuffle, by ranges of its order (id, hash of the text, row). The ranges' bounds
+are quantiles of a bounded sample, so any distribution of ids, rows without an id and repeated rows
+are spread evenly; they decide where a row is worked on, never what it gives. A range's rows meet in one
+task, which knows every row's successor but the last one's; that is the first row of the next range
+with rows. Counting and sampling need no shuffle of their own, as their groups lie within ranges.
 
 Defined results: a null text is the empty text. A text without words has the empty fingerprint;
-it is like another such text (1), and unlike all others (0). Rows of one id are ordered by their
-texts; rows with a null id come last. The only row of a table is its own successor. An empty table
-gives no rows. Other columns are ignored.
+it is like another such text (1), and unlike all others (0). Rows of one id are ordered by the hash of
+their texts; a null id counts as the smallest number. The only row of a table is its own successor. Very
+long texts are worked on whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,54 +30,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 64
-RANGE_BITS, SUPER_BITS = 8, 12
-#: Tasks for each configured shuffle partition: the work on a row is large beside its size.
-SPREAD = 4
+#: Ranges for each configured shuffle partition, and at most.
+SPREAD, MOST_RANGES = 4, 1 << 16
+#: Keys that the ranges' bounds are taken from, for each range.
+SAMPLED_KEYS = 16
 _WORDS = r"[\x20\x09-\x0D]+"
 _MASK31, _MASK32 = (1 << 31) - 1, (1 << 32) - 1
 
 
-def sample(word: Column, ln_weight: Column, slot: int) -> Column:
-    """A word's entry for one slot: ln a in fixed point above, the identity of (word, t) below."""
-    first, second = F.xxhash64(word, F.lit(2 * slot)), F.xxhash64(word, F.lit(2 * slot + 1))
+def sample(slot: int) -> Column:
+    """The entry of a row's word (of ln weight ln_n) for one slot: ln a in fixed point above, the identity of (word, t) below.
 
-    def uniform(bits: Column, width: int) -> Column:
-        return (bits.cast("double") + 0.5) / float(1 << width)
+    A SQL text, since some thousand column objects would take the driver ten seconds.
+    """
 
-    u1, u2 = uniform(first.bitwiseAND(F.lit((1 << 20) - 1)), 20), uniform(F.shiftrightunsigned(first, 44), 20)
-    b = uniform(F.shiftrightunsigned(first, 20).bitwiseAND(F.lit((1 << 24) - 1)), 24)
-    u3, u4 = uniform(second.bitwiseAND(F.lit(_MASK32)), 32), uniform(F.shiftrightunsigned(second, 32), 32)
-    r = -F.ln(u1 * u2)
-    t = F.floor(ln_weight / r + b)
-    ln_a = F.ln(-F.ln(u3 * u4)) - r * (t - b + 1.0)
-    order = ((ln_a + 128.0) * float(1 << 24)).cast("long")
-    identity = word.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit(_MASK31))
-    return F.shiftleft(order, 31).bitwiseOR(identity)
+    def uniform(bits: str, width: int) -> str:
+        return f"((({bits}) + 0.5D) / {1 << width}D)"
 
+    first, second = f"xxhash64(word, {2 * slot})", f"xxhash64(word, {2 * slot + 1})"
+    u1, u2 = uniform(f"{first} & {(1 << 20) - 1}", 20), uniform(f"shiftrightunsigned({first}, 44)", 20)
+    b = uniform(f"shiftrightunsigned({first}, 20) & {(1 << 24) - 1}", 24)
+    u3, u4 = uniform(f"{second} & {_MASK32}", 32), uniform(f"shiftrightunsigned({second}, 32)", 32)
+    r = f"(-ln({u1} * {u2}))"
+    t = f"floor(ln_n / {r} + {b})"
+    ln_a = f"ln(-ln({u3} * {u4})) - {r} * ({t} - {b} + 1D)"
+    return F.expr(f"shiftleft(bigint(({ln_a} + 128D) * {1 << 24}D), 31) | ((word ^ ({t} * 2654435761)) & {_MASK31})")
 
-def _next_ranges(ranges: DataFrame) -> DataFrame:
-    """(rng, next_rng): the next lower range that has rows; after the lowest, the highest."""
-    top = ranges.select("rng", F.shiftright("rng", SUPER_BITS).alias("sup"))
-    inside = top.withColumn("lower", F.lead("rng").over(Window.partitionBy("sup").orderBy(F.desc("rng"))))
-    # one row for 2^20 ids: small enough to be ordered in one task
-    supers = top.groupBy("sup").agg(F.max("rng").alias("head"))
-    everything = Window.orderBy(F.desc("sup"))
-    supers = supers.select("sup", F.coalesce(F.lead("head").over(everything), F.max("head").over(Window.partitionBy())).alias("next_head"))
-    return inside.join(supers, "sup").select("rng", F.coalesce("lower", "next_head").alias("next_rng"))
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the order's key (id, tie, row); the row's number only spreads equal rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+
+
+def _bounds(rows: DataFrame, ranges: int) -> list[tuple[int, int, int]]:
+    """Ascending keys that cut the order into about ``ranges`` even ranges; fewer for a small table."""
+    share = min(1.0, SAMPLED_KEYS * ranges / max(1, rows.count()))
+    found = sorted(tuple(r) for r in rows.select("id", "tie", "row").sample(share, 17).limit(2 * SAMPLED_KEYS * ranges).collect())
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
+
+
+def _range_of(bounds: list[tuple[int, int, int]]) -> Column:
+    """How many bounds a row's key isn't below, by binary search in literal arrays."""
+    steps = len(bounds).bit_length()
+    filled = bounds + [((1 << 63) - 1,) * 3] * ((1 << steps) - 1 - len(bounds))
+    ids, ties, rows = (F.split(F.lit(",".join(str(b[k]) for b in filled)), ",").cast("array<bigint>") for k in range(3))
+
+    def further(at: Column, step: Column) -> Column:
+        k = at + step - 1
+        i, t = F.get(ids, k), F.get(ties, k)
+        reached = (F.col("id") > i) | ((F.col("id") == i) & ((F.col("tie") > t) | ((F.col("tie") == t) & (F.col("row") >= F.get(rows, k)))))
+        return F.when(reached, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), further) if steps else F.lit(0)
 
 
 def _succeeded(docs: DataFrame) -> DataFrame:
     """rng, rn, doc_id, text, next_text (by descending id; after the last: the first), edge: last row of its range."""
-    spark = docs.sparkSession
-    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = F.lit(-(1 << 60)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = rows.select(F.coalesce(F.shiftright("doc_id", RANGE_BITS), lowest).alias("rng")).distinct()
-    rows = rows.withColumn("rng", F.coalesce(F.shiftright("doc_id", RANGE_BITS), lowest)).repartition(parts, "rng")
-    order = Window.partitionBy("rng").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = rows.select("rng", F.row_number().over(order).alias("rn"), "doc_id", "text", F.lead("text").over(order).alias("follow"))
-    heads = rows.where("rn = 1").select(F.col("rng").alias("next_rng"), F.col("text").alias("head_text"))
-    heads = heads.join(_next_ranges(ranges), "next_rng").select("rng", "head_text")
+    parts = min(MOST_RANGES, SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = _keyed(docs)
+    keyed = keyed.withColumn("rng", _range_of(_bounds(keyed, parts))).repartition(parts, "rng")
+    order = Window.partitionBy("rng").orderBy(F.desc("id"), F.desc("tie"), F.desc("row"))
+    rows = keyed.select("rng", F.row_number().over(order).alias("rn"), "doc_id", "text", F.lead("text").over(order).alias("follow"))
+    heads = rows.where("rn = 1").select(F.col("rng").alias("head"), F.col("text").alias("head_text"))
+    # one row for each range, MOST_RANGES at most: few enough to be ordered in one task
+    ranges = keyed.select("rng").distinct()
+    everything = Window.orderBy(F.desc("rng"))
+    lower = ranges.select("rng", F.coalesce(F.lead("rng").over(everything), F.max("rng").over(Window.partitionBy())).alias("head"))
+    heads = heads.join(lower, "head").select("rng", "head_text")
     joined = rows.join(heads.repartition(parts, "rng").hint("merge"), "rng")
     return joined.select("rng", "rn", "doc_id", "text", F.coalesce("follow", "head_text").alias("next_text"), F.col("follow").isNull().alias("edge"))
 
@@ -93,7 +114,7 @@ def _fingerprinted(texts: DataFrame, samples: int) -> DataFrame:
     words = texts.select("rng", "key", F.explode(F.split(F.lower("text"), _WORDS)).alias("word")).where("word != ''")
     counted = words.groupBy("rng", "key", F.xxhash64("word").alias("word")).agg(F.count("*").alias("n"))
     counted = counted.select("rng", "key", "word", F.ln(F.col("n").cast("double")).alias("ln_n"))
-    slots = [F.min(sample(F.col("word"), F.col("ln_n"), k)).alias(f"s{k}") for k in range(samples)]
+    slots = [F.min(sample(k)).alias(f"s{k}") for k in range(samples)]
     return counted.groupBy("rng", "key").agg(*slots).select("rng", "key", F.array(*[f"s{k}" for k in range(samples)]).alias("slots"))
 
 
