@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import dates, json_text, names, links, numbers, text
 from tidewright.operators import checks, forecast, graph, keys, search, stories, temporal, vectors
 from tidewright.sources import files, sinks
+from tidewright.streaming import incremental
 
 
 def column(spark, value, f, kind="string"):
@@ -288,3 +289,15 @@ def test_replacement_that_broke_off_loses_nothing(spark, tmp_path):
     assert spark.read.parquet(target).count() == 3
     sinks.replace_staged(spark.range(5), target)
     assert spark.read.parquet(target).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_commit_of_a_judged_run(spark, tmp_path):
+    items = spark.createDataFrame([("b1", 1, "x"), ("b1", 2, "y"), ("b2", 1, "z")], "batch string, idx int, title string")
+    verdict = lambda rows: spark.createDataFrame(rows, "batch string, idx int, accept boolean")
+    target = f"file://{tmp_path}/accepted"
+    for bad in ([("b1", 1, True)], [("b1", 1, True), ("b1", 2, False), ("b2", 1, True), ("b0", 1, True)]):
+        with pytest.raises(ValueError, match="judged|another run"):
+            incremental.commit(items, verdict(bad), target)
+    assert incremental.commit(items, verdict([("b1", 1, False), ("b1", 2, False), ("b2", 1, False)]), target) == 0
+    good = verdict([("b1", 1, True), ("b1", 2, False), ("b2", 1, True)])
+    assert incremental.commit(items, good, target) == 2 and incremental.commit(items, good, target) == 0

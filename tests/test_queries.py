@@ -57,4 +57,4 @@ def test_entry(spark):
 def test_no_name_of_a_row_subset():
     """Queries run over whole tables: no limits but in the queries whose feature they are."""
     limited = {n for n, s in SQL.items() if re.search(r"\bLIMIT\b", s)}
-    assert limited <= {"event_timeline", "entity_exact_first", "closest_margins", "null_date_last", "cosine_topk", "table_search_page", "waiting_items_first"}
+    assert limited <= {"event_timeline", "entity_exact_first", "closest_margins", "null_date_last", "cosine_topk", "table_search_page", "waiting_items_first", "tightest_flips", "indexed_search"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,48 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters with marks up to U+024F, and the letters without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if c.islower()]
+    pairs = [(c, base) for c, base in pairs if base != c]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, letters without their marks."""
+    return F.translate(F.lower(text), *_plain_letters())
+
+
+def text_index(docs: DataFrame, ident: str, columns: Sequence[str]) -> DataFrame:
+    """(token, id, tf, len) over several columns with accents folded; written once by the caller, looked up by token."""
+    whole = folded(F.concat_ws(" ", *columns))
+    return postings(docs.select(F.col(ident), whole.alias("_text")), ident, "_text").select("token", "id", "tf", "len")
+
+
+def index_search(index: DataFrame, query: Sequence[str], totals: DataFrame, prefix: bool = False) -> DataFrame:
+    """(id, score) of documents that hold all query tokens (``prefix``: the last one as a beginning), by BM25.
+
+    Only the postings of the query's tokens are read; ``totals`` is the one-row frame of :func:`index_totals`.
+    """
+    asked = [unicodedata.normalize("NFD", q.lower()) for q in query]
+    asked = ["".join(c for c in q if not unicodedata.combining(c)) for q in asked]
+    which = F.lit(None).cast("int")
+    for k, q in enumerate(asked):
+        hit = F.col("token").startswith(q) if prefix and k == len(asked) - 1 else F.col("token") == q
+        which = F.when(hit, k).otherwise(which)
+    hits = index.withColumn("k", which).where("k is not null").groupBy("id", "k").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
+    df = F.broadcast(hits.groupBy("k").agg(F.count("*").alias("df")))  # a row for each query token
+    weight = F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = hits.join(df, "k").join(F.broadcast(totals)).groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("n"))
+    return scored.where(F.col("n") == len(asked)).select("id", "score")
+
+
+def index_totals(index: DataFrame, n_docs: int) -> DataFrame:
+    """One row: the number of documents, and their mean length."""
+    return index.agg(F.lit(n_docs).alias("n_docs"), (F.sum("tf") / float(max(n_docs, 1))).alias("avg_len"))
+
+
 def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, token, tf, len): one row per document and token."""
     listed = docs.select(F.col(ident).alias("id"), words(F.col(text)).alias("w"))

@@ -93,19 +93,3 @@ def longest_matches(rows: DataFrame, ident: str, text: str, needles: list[tuple[
             yield pd.DataFrame(out, columns=[ident, "name", "start", "end"])
 
     return rows.select(ident, text).mapInPandas(run, f"{ident} {kind}, name string, start long, end long")
-
-
-def text_dates(text):
-    """Dates in a text as (iso, precision), specific grammars first, without overlap; as array<struct>."""
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    day = F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))
-    month = F.regexp_extract_all(F.regexp_replace(text, r"\d{4}-\d{2}-\d{2}", " "), F.lit(r"\b(\d{4}-\d{2})\b"), F.lit(1))
-    named = F.regexp_extract_all(text, F.lit(rf"\b(\d{{1,2}} (?:{months}) \d{{4}})\b"), F.lit(1))
-    named_iso = F.transform(named, lambda d: F.date_format(F.try_to_timestamp(d, F.lit("d MMMM yyyy")), "yyyy-MM-dd"))
-    quarter = F.regexp_extract_all(text, F.lit(r"\b(Q[1-4] \d{4})\b"), F.lit(1))
-
-    def tag(values, precision: str):
-        return F.transform(values, lambda v: F.struct(v.alias("iso"), F.lit(precision).alias("precision")))
-
-    quarters = F.transform(quarter, lambda q: F.concat(F.substring(q, 4, 4), F.lit("-"), F.substring(q, 1, 2)))
-    return F.concat(tag(day, "day"), tag(named_iso, "day"), tag(quarters, "quarter"), tag(month, "month"))

@@ -281,3 +281,108 @@ def payload_text(spark: SparkSession, d: str) -> DataFrame:
     nested = F.concat(F.lit('{"a": ['), "props", F.lit(', {"u": "https://a.example/'), F.col("user_id").cast("string"), F.lit('"}]}'))
     rows = table(spark, d, "events").select("event_id", json_text.flattened(nested).alias("f"))
     return rows.select("event_id", F.col("f.said").alias("said"), F.array_join("f.urls", " ").alias("urls"))
+
+
+@add("SELECT 'event' AS kind, event_type AS name, strftime(ts, '%Y-%m-%d') AS detail FROM events WHERE event_id = 7 UNION ALL SELECT 'entity', CAST(user_id AS VARCHAR), 'actor' FROM events WHERE event_id = 7 UNION ALL SELECT 'metric', 'k', json_extract_string(props, '$.k') FROM events WHERE event_id = 7 UNION ALL SELECT 'citation', CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders JOIN events ON o_custkey = user_id WHERE event_id = 7")
+def event_command(spark: SparkSession, d: str) -> DataFrame:
+    """One event with its entities, metrics and citations."""
+    e = table(spark, d, "events").where("event_id = 7")
+    parts = [
+        e.select(F.lit("event").alias("kind"), F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("detail")),
+        e.select(F.lit("entity"), F.col("user_id").cast("string"), F.lit("actor")),
+        e.select(F.lit("metric"), F.explode(F.from_json("props", "map<string,string>"))),
+        table(spark, d, "orders").join(e, F.col("o_custkey") == F.col("user_id")).select(F.lit("citation"), F.col("o_orderkey").cast("string"), "o_orderstatus"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@add("WITH c AS (SELECT c_mktsegment AS party, CASE WHEN c_custkey % 60 + 20 < 30 THEN 'under_30' WHEN c_custkey % 60 + 20 < 45 THEN '30_44' WHEN c_custkey % 60 + 20 < 60 THEN '45_59' ELSE '60_up' END AS bracket, c_acctbal > 5000 AS won FROM customer) SELECT party, bracket, count(*) AS contested, round(100.0 * count_if(won) / count(*), 4) AS win_rate FROM c GROUP BY 1, 2 HAVING count(*) >= 5")
+def win_rate_by_age(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of fewer than five candidates aren't shown, as in the report."""
+    age = F.col("c_custkey") % 60 + 20
+    bracket = F.when(age < 30, "under_30").when(age < 45, "30_44").when(age < 60, "45_59").otherwise("60_up")
+    rows = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("party"), bracket.alias("bracket"))
+    return rows.agg(F.count("*").alias("contested"), F.round(F.count_if(F.col("c_acctbal") > 5000) * 100.0 / F.count("*"), 4).alias("win_rate")).where("contested >= 5")
+
+
+@add("WITH v AS (SELECT c_nationkey AS seat, year(o_orderdate) AS y, c_mktsegment AS bloc, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3), w AS (SELECT seat, y, arg_max(bloc, (n, bloc)) AS winner FROM v GROUP BY 1, 2) SELECT seat, y, winner, coalesce(winner <> lag(winner) OVER (PARTITION BY seat ORDER BY y), false) AS changed_hands FROM w")
+def changed_hands(spark: SparkSession, d: str) -> DataFrame:
+    """Each election's winner against the one before on the same seat."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    votes = rows.groupBy(F.col("c_nationkey").alias("seat"), F.year("o_orderdate").cast("long").alias("y"), F.col("c_mktsegment").alias("bloc")).agg(F.count("*").alias("n"))
+    won = votes.groupBy("seat", "y").agg(F.max_by("bloc", F.struct("n", "bloc")).alias("winner"))
+    before = F.lag("winner").over(Window.partitionBy("seat").orderBy("y"))
+    return won.select("seat", "y", "winner", F.coalesce(F.col("winner") != before, F.lit(False)).alias("changed_hands"))
+
+
+@add(f"WITH {seats.SEATS_SQL}, f AS (SELECT code, CASE WHEN code % 5 = 0 THEN NULL ELSE round(-raw, 6) END AS m FROM proj WHERE raw < 0) SELECT code, m AS proj_margin FROM f ORDER BY abs(coalesce(nullif(m, 0), 99)), code LIMIT 3")
+def tightest_flips(spark: SparkSession, d: str) -> DataFrame:
+    """The three closest flips; an unknown margin, or none, counts as 99."""
+    rows = seats.with_projection(spark, d).where("flip").select("code", F.when(F.col("code") % 5 != 0, F.round("proj_margin", 6)).alias("proj_margin"))
+    return rows.orderBy(F.abs(F.coalesce(F.nullif("proj_margin", F.lit(0.0)), F.lit(99.0))), "code").limit(3)
+
+
+@add("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 >= 2")
+def resumable_run(spark: SparkSession, d: str) -> DataFrame:
+    """A half of the items has a decision on the same input; a changed input counts anew."""
+    from tidewright.streaming import incremental
+
+    items = table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderstatus", "o_totalprice"), 256).alias("digest"))
+    log = items.where("o_orderkey % 4 < 3").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 2, "old").otherwise(F.col("digest")).alias("digest"), F.lit(2).alias("n"))
+    log = log.unionByName(log.select("o_orderkey", F.lit("older").alias("digest"), F.lit(1).alias("n")))
+    return incremental.still_to_do(items, log, "o_orderkey", "digest", "n").select("o_orderkey")
+
+
+@add("SELECT count(*) AS n, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim, min(len(embedding)) = max(len(embedding)) AND count(*) = count(DISTINCT vec_id) AS ok FROM embeddings")
+def vector_collection(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    least, most = F.min(F.size("embedding")), F.max(F.size("embedding"))
+    return e.agg(F.count("*").alias("n"), least.alias("least_dim"), most.alias("most_dim"), ((least == most) & (F.count("*") == F.count_distinct("vec_id"))).alias("ok"))
+
+
+_RULES = {
+    "orders have customers": "(SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))",
+    "lines have orders": "(SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))",
+    "lines have parts": "(SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))",
+    "event ids are unique": "(SELECT count(*) - count(DISTINCT event_id) FROM events)",
+    "order ids are unique": "(SELECT count(*) - count(DISTINCT o_orderkey) FROM orders)",
+    "events are dated": "(SELECT count_if(ts IS NULL) FROM events)",
+    "types are known": "(SELECT count_if(event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')) FROM events)",
+    "values are not negative": "(SELECT count_if(value < 0) FROM events)",
+    "discounts are shares": "(SELECT count_if(l_discount < 0 OR l_discount > 1) FROM lineitem)",
+    "names are filled": "(SELECT count_if(coalesce(c_name, '') = '') FROM customer)",
+    "payloads are JSON": "(SELECT count_if(NOT json_valid(props)) FROM events)",
+    "dates are ordered": "(SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < TIMESTAMP '1900-01-01')",
+}
+
+
+@add(" UNION ALL ".join(f"SELECT '{name}' AS rule, CAST({sql} AS BIGINT) AS violations" for name, sql in _RULES.items()))
+def store_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The store's integrity rules: references, unique ids, dates, known values."""
+    t = {n: table(spark, d, n) for n in ("orders", "customer", "lineitem", "part", "events")}
+    e, l = t["events"], t["lineitem"]
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
+
+    names_ = list(_RULES)
+    found = [
+        counted(checks.dangling(t["orders"], "o_custkey", t["customer"], "c_custkey"), names_[0]),
+        counted(checks.dangling(l, "l_orderkey", t["orders"], "o_orderkey"), names_[1]),
+        counted(checks.dangling(l, "l_partkey", t["part"], "p_partkey"), names_[2]),
+        checks.duplicates(e, ["event_id"]).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(F.lit(names_[3]).alias("rule"), "violations"),
+        checks.duplicates(t["orders"], ["o_orderkey"]).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(F.lit(names_[4]).alias("rule"), "violations"),
+        checks.rule_counts(e, {names_[5]: F.col("ts").isNotNull(), names_[6]: F.col("event_type").isin("view", "click", "purchase", "signup", "error"), names_[7]: F.coalesce(F.col("value") >= 0, F.lit(True)), names_[10]: F.try_parse_json("props").isNotNull()}),
+        checks.rule_counts(l, {names_[8]: F.col("l_discount").between(0, 1)}),
+        checks.rule_counts(t["customer"], {names_[9]: F.length("c_name") > 0}),
+        counted(l.join(t["orders"], F.col("o_orderkey") == F.col("l_orderkey")).where(F.col("l_shipdate") < F.lit("1900-01-01").cast("timestamp")), names_[11]),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

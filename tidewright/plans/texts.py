@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import links, text
 from tidewright.operators import graph, search, similarity, stories, vectors
 from tidewright.plans.base import Registry, table
+from tidewright.session import materialise
 from tidewright.sources import files
 
 R = Registry()
@@ -57,16 +58,6 @@ def type_classify_negation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.first_match_unless(F.col("text"), rules, r"(?i)\b(?:not|no|of)\b").alias("kind"))
 
 
-@add()
-def date_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Dates in sentences about orders, in four grammars."""
-    o = table(spark, d, "orders")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Signed on "), day, F.lit(" at noon."))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Signed "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("; due Q3 2001."))).otherwise(F.concat(F.lit("Signed in "), F.date_format("o_orderdate", "yyyy-MM")))
-    rows = o.select("o_orderkey", F.explode(stories.text_dates(said)).alias("hit"))
-    return rows.select("o_orderkey", F.col("hit.iso").alias("iso"), F.col("hit.precision").alias("precision"))
-
-
 @add()
 def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Longest dictionary phrases in part names and documents' texts, at word boundaries, without overlap."""
@@ -207,6 +198,29 @@ def boolean_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(search.match(F.col("text"), '("of the" OR thn*) AND NOT was')).select("doc_id")
 
 
+_FOLDED = r"list_filter(string_split_regex(strip_accents(lower(text || ' ' || lang)), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@add(f"""WITH d AS (SELECT doc_id, lang, {_FOLDED} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d),
+t AS (SELECT doc_id, lang, len(w) AS l, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: starts_with(x, 'en'))) AS t1 FROM d), f AS (SELECT count_if(t0 > 0) AS f0, count_if(t1 > 0) AS f1 FROM t),
+r AS (SELECT doc_id, lang, ln(1 + (n - f0 + 0.5) / (f0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / al)) + ln(1 + (n - f1 + 0.5) / (f1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / al)) AS score FROM t, f, s WHERE t0 > 0 AND t1 > 0)
+SELECT doc_id, round(score, 6) AS score FROM r WHERE lang = 'en' ORDER BY round(score, 6) DESC, doc_id LIMIT 25""")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Search with filters over an index that is written once; the limit is the command's."""
+    docs = table(spark, d, "documents")
+    index = materialise(search.text_index(docs, "doc_id", ["text", "lang"]).repartition("token"), "text-index")
+    hits = search.index_search(index, ["THÉ", "en"], search.index_totals(index, docs.count()), prefix=True)
+    rows = hits.join(docs.where("lang = 'en'").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return rows.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@add("""SELECT c_custkey AS id FROM customer WHERE list_contains(string_split(lower(c_mktsegment), ' '), 'building') AND regexp_matches(lower(c_name), '\\b00000001[0-9]*')""")
+def entity_index_search(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    index = materialise(search.text_index(c, "c_custkey", ["c_name", "c_mktsegment"]), "entity-index")
+    return search.index_search(index, ["Building", "00000001"], search.index_totals(index, c.count()), prefix=True).select("id")
+
+
 @add()
 def snippet(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part")

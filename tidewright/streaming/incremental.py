@@ -61,3 +61,23 @@ def look_back_days(interval_days: Column, gap_days: Column) -> Column:
 def deduplicated_within(stream: DataFrame, keys: Sequence[str], at: str, delay: str) -> DataFrame:
     """Duplicates dropped as long as their state is kept: the delay bounds the memory, late rows go to :func:`append_unseen`."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def commit(items: DataFrame, verdicts: DataFrame, target: str) -> int:
+    """Accept a judged run: items (batch, idx, ...) with their verdicts (batch, idx, accept) go to ``target``.
+
+    Refused, with nothing written, if an item has no verdict or a verdict is of a batch that isn't in this run.
+    That nothing is accepted is legal. A repeated call adds nothing. Returns how many were added.
+    """
+    unjudged = items.join(verdicts, ["batch", "idx"], "left_anti").limit(1).count()
+    stale = verdicts.join(items, "batch", "left_anti").limit(1).count()
+    if unjudged or stale:
+        raise ValueError("not all items are judged" if unjudged else "verdicts of another run")
+    accepted = items.join(verdicts.where("accept").select("batch", "idx").distinct(), ["batch", "idx"], "left_semi")
+    return append_new(accepted, target, ["batch", "idx"])
+
+
+def still_to_do(items: DataFrame, log: DataFrame, key: str, digest: str, order: str) -> DataFrame:
+    """Items without a decision, or whose input has changed since their latest one; a run goes on where it stopped."""
+    latest = log.groupBy(key).agg(F.max_by(digest, order).alias("_seen"))
+    return items.join(latest, key, "left").where(F.col("_seen").isNull() | (F.col("_seen") != F.col(digest))).drop("_seen")
