@@ -224,7 +224,13 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings(), pieces_
 def fit(docs: DataFrame, settings: Settings = Settings(), pieces_name: str = DEFAULT_PIECES) -> Model:
     """Train on a bounded sample of rows with a language, a hash's first of each (the caller leaves out held-out rows)."""
     known = docs.where("lang is not null").select("lang", sampling.hashed_id().alias("h"))
-    first = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= settings.rows_per_language)
+    # first which of 4,096 ranges of hashes hold a language's first rows, so that no task gets all rows of one
+    part, order = F.shiftright("h", 52), Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = known.groupBy("lang", part.alias("part")).agg(F.count("*").alias("n"))
+    counted = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < settings.rows_per_language)
+    reach = materialise(counted.groupBy("lang").agg(F.max("part").alias("last")), "language-ranges")
+    near = known.join(reach, "lang").where(part <= F.col("last")).select("lang", "h")
+    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= settings.rows_per_language)
     bounds = materialise(first.groupBy("lang").agg(F.max("h").alias("cut"), F.max("nth").alias("nth")), "language-cuts")
     rows = docs.select("lang", "text", "doc_id").join(bounds, "lang").where(sampling.hashed_id() <= F.col("cut")).where("text is not null")
     # rows that tie with the last one beyond the bound are left out again
