@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import materialise
+
 
 def document_frequency(rows: DataFrame, ident: str, tokens: str) -> DataFrame:
     """(token, df): rows that hold each token; arrays are sets."""
@@ -46,6 +48,7 @@ def weighted_jaccard_pairs(rows: DataFrame, ident: str, tokens: str, weights: Da
     of those heaviest (rarest) tokens without which the rest of a set weighs less than that.
     """
     sets = rows.select(F.col(ident).alias("id"), F.explode(F.array_distinct(tokens)).alias("token")).join(weights.select("token", "weight"), "token")
+    sets = materialise(sets, "weighted-tokens")  # read four times below
     own = Window.partitionBy("id")
     heavier = own.orderBy(F.desc("weight"), "token").rowsBetween(Window.unboundedPreceding, -1)
     placed = sets.withColumns({"total": F.sum("weight").over(own), "before": F.coalesce(F.sum("weight").over(heavier), F.lit(0.0))})
