@@ -350,4 +350,14 @@ def test_similar_pairs_and_brute_force(spark, monkeypatch, cell):
         assert {tuple(r) for r in similarity.jaccard_pairs(df, "id", "t", least).collect()} == want
         weights = similarity.idf(similarity.document_frequency(df, "id", "t"), df.agg(F.count("*").alias("n")))
         got = {(r["a"], r["b"]): r["score"] for r in similarity.weighted_jaccard_pairs(df, "id", "t", weights, least).collect()}
-        assert got == pytest.approx(heavy)
\ No newline at end of file
+        assert got == pytest.approx(heavy)
+
+
+def test_equal_sets_are_compared_once(spark):
+    """800 copies and 800 sets of frequent words: few candidates, all pairs in the end."""
+    copies = [(i, [f"c{k}" for k in range(30)]) for i in range(800)]
+    others = [(1000 + i, [f"o{(i * k) % 61}" for k in range(1, 9)]) for i in range(60)]
+    df = spark.createDataFrame(copies + others, "id long, t array<string>")
+    pairs, members = similarity.similar_classes(df, "id", "t", 0.9)
+    assert pairs.where("ca = 0").count() == 1 and members.count() == 860
+    assert similarity.jaccard_pairs(df, "id", "t", 0.9).where("b < 1000").count() == 800 * 799 // 2
\ No newline at end of file

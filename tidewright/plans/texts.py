@@ -166,8 +166,12 @@ def near_dup_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @add(f"""WITH RECURSIVE l AS ({_JACCARD}), e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    pairs = similarity.jaccard_pairs(_signatures(spark, d), "doc_id", "t", 0.6).select("a", "b")
-    return graph.connected_components(table(spark, d, "documents").select("doc_id"), "doc_id", pairs)
+    """Components of the classes of equal sets; a class is named by its smallest document, so a component is too."""
+    pairs, members = similarity.similar_classes(_signatures(spark, d), "doc_id", "t", 0.6)
+    links = pairs.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = graph.connected_components(members.select("class").distinct(), "class", links)
+    named = members.join(found, "class").select(F.col("id").alias("doc_id"), "component")
+    return table(spark, d, "documents").select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
 @add()
