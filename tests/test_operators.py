@@ -360,4 +360,12 @@ def test_equal_sets_are_compared_once(spark):
     df = spark.createDataFrame(copies + others, "id long, t array<string>")
     pairs, members = similarity.similar_classes(df, "id", "t", 0.9)
     assert pairs.where("ca = 0").count() == 1 and members.count() == 860
-    assert similarity.jaccard_pairs(df, "id", "t", 0.9).where("b < 1000").count() == 800 * 799 // 2
\ No newline at end of file
+    assert similarity.jaccard_pairs(df, "id", "t", 0.9).where("b < 1000").count() == 800 * 799 // 2
+
+
+def test_hashing_embedder_computes_words_once(spark):
+    df = spark.createDataFrame([("a a b C d",), ("",), (None,)], "t string")
+    got = df.select(vectors.hashing_embedder(F.col("t"), 8).alias("v"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    first, empty, missing = (r["v"] for r in got.collect())
+    assert first == pytest.approx([0, 0, 0.3779645, -0.3779645, 0.7559289, 0, 0.3779645, 0], abs=1e-6) and empty == missing == [0.0] * 8

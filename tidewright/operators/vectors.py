@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,8 +60,20 @@ def pca_2d(rows: DataFrame, ident: str, vector: str) -> DataFrame:
 
 
 def hashing_embedder(text: Column, dimensions: int = 64) -> Column:
-    """Signed token counts by hash, scaled to length one: an embedding that needs no model."""
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    places = F.transform(w, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimensions)).alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(F.filter(places, lambda p: p["at"] == d), F.lit(0.0), lambda s, p: s + p["v"]))
-    return F.transform(raw, lambda x: F.when(norm(raw) > 0, x / norm(raw)).otherwise(0.0))
+    """Signed token counts by hash, scaled to length one: an embedding that needs no model.
+
+    Spark puts an expression's text wherever it is used, so each step stands in a lambda and is computed once.
+    """
+
+    def once(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), then)[0]
+
+    def counted(w: Column) -> Column:
+        places = F.transform(w, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimensions)).alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
+        return once(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(ps, F.lit(0.0), lambda s, p: s + F.when(p["at"] == d, p["v"]).otherwise(0.0))))
+
+    def scaled(raw: Column) -> Column:
+        return once(norm(raw), lambda length: F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(0.0)))
+
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return once(once(words, counted), scaled)

@@ -266,8 +266,8 @@ def pca_map(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def hashing_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", vectors.hashing_embedder(F.col("p_name"), 32).alias("v"))
-    return rows.select("p_partkey", "v", F.round(vectors.norm(F.col("v")), 6).alias("length"))
+    both = F.transform(F.array(vectors.hashing_embedder(F.col("p_name"), 32)), lambda v: F.struct(v.alias("v"), F.round(vectors.norm(v), 6).alias("length")))
+    return table(spark, d, "part").select("p_partkey", F.inline(both))
 
 
 @add(r"""WITH s AS (SELECT o_orderkey, 'Seat P' || lpad(CAST(o_orderkey % 222 + 1 AS VARCHAR), 3, '0') AS seat, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_custkey AS VARCHAR) AS num FROM orders)
