@@ -369,3 +369,18 @@ def test_hashing_embedder_computes_words_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     first, empty, missing = (r["v"] for r in got.collect())
     assert first == pytest.approx([0, 0, 0.3779645, -0.3779645, 0.7559289, 0, 0.3779645, 0], abs=1e-6) and empty == missing == [0.0] * 8
+
+
+
+def test_top_k_of_copies_and_odd_vectors(spark):
+    """Copies, zeros, missing and other vectors, against the scores one by one."""
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)] + [(60, [0.0] * 3), (61, None), (62, [1.0, 2.0]), (63, [1.0, None, 2.0]), (64, [float("nan"), 1.0, 1.0]), (65, [1e200, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    asked = df.where("id % 4 = 0 or id > 58").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    scored = df.crossJoin(asked).select("query_id", "id", vectors.cosine(F.col("v"), F.col("q")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    want = sorted(repr(tuple(r)) for r in scored.withColumn("rank", F.row_number().over(order)).where("rank <= 4").collect())
+    for most in (100, 6):
+        assert sorted(repr(tuple(r)) for r in vectors.top_k_each(df, "id", "v", asked, 4, most).collect()) == want
+    plan = vectors.top_k_each(df.where("id < 60"), "id", "v", asked.where("query_id < 60"), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
\ No newline at end of file
