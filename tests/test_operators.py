@@ -383,4 +383,15 @@ def test_top_k_of_copies_and_odd_vectors(spark):
     for most in (100, 6):
         assert sorted(repr(tuple(r)) for r in vectors.top_k_each(df, "id", "v", asked, 4, most).collect()) == want
     plan = vectors.top_k_each(df.where("id < 60"), "id", "v", asked.where("query_id < 60"), 4)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
\ No newline at end of file
+    assert "Join" not in plan
+
+
+def test_pairs_of_tokens_through_classes(spark):
+    """Copies within a block are paired with each other and with all that share two tokens; none across blocks, none without a block."""
+    rows = [(i, "x" if i % 2 else "y", ["red", "ring"] if i % 4 < 2 else ["red", "ring", "hot"]) for i in range(700)] + [(900, None, ["red", "ring"]), (901, "x", ["red"]), (902, None, ["red", "ring"])]
+    df = spark.createDataFrame(rows, "id long, block string, t array<string>")
+    got = {(r["a"], r["b"]): r["shared"] for r in similarity.shared_token_pairs(df, "id", "t", 2, "block").collect()}
+    assert len(got) == 2 * 350 * 349 // 2
+    assert got[0, 4] == 2 and got[2, 6] == 3 and got[0, 2] == 2 and (0, 1) not in got
+    classes, _ = similarity.token_classes(df.select("block", "id", F.col("t").alias("set")))
+    assert classes.where("shared >= 2").count() == 2 + 4
\ No newline at end of file

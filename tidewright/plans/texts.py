@@ -160,7 +160,7 @@ def weighted_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @add("""WITH e AS (SELECT p_partkey, p_brand, p_type, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part) SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS shared FROM e x JOIN e y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.token = y.token AND x.p_partkey < y.p_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
 def near_dup_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type").alias("block"), F.split("p_name", " ").alias("t"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("|"), "p_type").alias("block"), F.split("p_name", " ").alias("t"))
     return similarity.shared_token_pairs(rows, "p_partkey", "t", 2, "block")
 
 
