@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import dates, json_text, names, links, numbers, text
-from tidewright.operators import checks, forecast, graph, keys, search, similarity, stories, temporal, vectors
+from tidewright.operators import checks, forecast, graph, keys, merging, search, similarity, stories, temporal, vectors
 from tidewright.sources import files, sinks
 from tidewright.streaming import incremental
 
@@ -363,13 +363,24 @@ def test_equal_sets_are_compared_once(spark):
     assert similarity.jaccard_pairs(df, "id", "t", 0.9).where("b < 1000").count() == 800 * 799 // 2
 
 
-def test_hashing_embedder_computes_words_once(spark):
-    df = spark.createDataFrame([("a a b C d",), ("",), (None,)], "t string")
-    got = df.select(vectors.hashing_embedder(F.col("t"), 8).alias("v"))
-    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
-    first, empty, missing = (r["v"] for r in got.collect())
-    assert first == pytest.approx([0, 0, 0.3779645, -0.3779645, 0.7559289, 0, 0.3779645, 0], abs=1e-6) and empty == missing == [0.0] * 8
+def test_pairs_of_tokens_through_classes(spark):
+    """Copies within a block are paired with each other and with all that share two tokens; none across blocks, none without a block."""
+    rows = [(i, "x" if i % 2 else "y", ["red", "ring"] if i % 4 < 2 else ["red", "ring", "hot"]) for i in range(700)] + [(900, None, ["red", "ring"]), (901, "x", ["red"]), (902, None, ["red", "ring"])]
+    df = spark.createDataFrame(rows, "id long, block string, t array<string>")
+    got = {(r["a"], r["b"]): r["shared"] for r in similarity.shared_token_pairs(df, "id", "t", 2, "block").collect()}
+    assert len(got) == 2 * 350 * 349 // 2
+    assert got[0, 4] == 2 and got[2, 6] == 3 and got[0, 2] == 2 and (0, 1) not in got
+    classes, _ = similarity.token_classes(df.select("block", "id", F.col("t").alias("set")))
+    assert classes.where("shared >= 2").count() == 2 + 4
+
 
+def test_same_events_through_classes(spark):
+    rows = [(i, "k1" if i % 2 else "k2", "Seat lost by Ali" if i < 300 else "Ali lost a Seat by") for i in range(600)] + [(900, None, "Seat lost by Ali"), (901, "k1", ""), (902, "k1", None)]
+    df = spark.createDataFrame(rows, "id long, k string, title string")
+    found = merging.same_event_pairs(df, "id", "k", "title")
+    assert found.columns == ["a", "b"] and found.distinct().count() == found.count() == 2 * 300 * 299 // 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ids_a" in plan  # pairs of ids come from pairs of classes
 
 
 def test_top_k_of_copies_and_odd_vectors(spark):
@@ -386,12 +397,9 @@ def test_top_k_of_copies_and_odd_vectors(spark):
     assert "Join" not in plan
 
 
-def test_pairs_of_tokens_through_classes(spark):
-    """Copies within a block are paired with each other and with all that share two tokens; none across blocks, none without a block."""
-    rows = [(i, "x" if i % 2 else "y", ["red", "ring"] if i % 4 < 2 else ["red", "ring", "hot"]) for i in range(700)] + [(900, None, ["red", "ring"]), (901, "x", ["red"]), (902, None, ["red", "ring"])]
-    df = spark.createDataFrame(rows, "id long, block string, t array<string>")
-    got = {(r["a"], r["b"]): r["shared"] for r in similarity.shared_token_pairs(df, "id", "t", 2, "block").collect()}
-    assert len(got) == 2 * 350 * 349 // 2
-    assert got[0, 4] == 2 and got[2, 6] == 3 and got[0, 2] == 2 and (0, 1) not in got
-    classes, _ = similarity.token_classes(df.select("block", "id", F.col("t").alias("set")))
-    assert classes.where("shared >= 2").count() == 2 + 4
\ No newline at end of file
+def test_hashing_embedder_computes_words_once(spark):
+    df = spark.createDataFrame([("a a b C d",), ("",), (None,)], "t string")
+    got = df.select(vectors.hashing_embedder(F.col("t"), 8).alias("v"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    first, empty, missing = (r["v"] for r in got.collect())
+    assert first == pytest.approx([0, 0, 0.3779645, -0.3779645, 0.7559289, 0, 0.3779645, 0], abs=1e-6) and empty == missing == [0.0] * 8

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text
+from tidewright.operators import similarity
 
 
 def layered_history(layers: Sequence[DataFrame], key: str, line: str) -> DataFrame:
@@ -30,14 +31,10 @@ def merge_entities(layers: DataFrame, name: str, display: str, aliases: str, lay
 
 def same_event_pairs(events: DataFrame, ident: str, anchor: str, title: str, least: float = 0.7) -> DataFrame:
     """Pairs of events on the same anchor whose titles' token sets are similar: (a, b) with a < b."""
-    rows = events.where(F.col(anchor).isNotNull()).select(F.col(anchor).alias("anchor"), F.col(ident).alias("id"), text.tokens(F.col(title), 2).alias("t"))
-    # candidates share an anchor and a token; anchors with many events don't pair events without a common token
-    spread = rows.select("anchor", "id", F.explode("t").alias("token"))
-    a, b = spread.withColumnRenamed("id", "a"), spread.withColumnRenamed("id", "b")
-    pairs = a.join(b, ["anchor", "token"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sizes = rows.select("id", F.size("t").alias("n"))
-    full = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return full.where(F.col("shared") >= least * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
+    rows = events.select(F.col(anchor).alias("block"), F.col(ident).alias("id"), text.tokens(F.col(title), 2).alias("set"))
+    # equal titles of an anchor are compared once; anchors with many events don't pair titles without a common token
+    pairs, members = similarity.token_classes(rows)
+    return similarity.expanded(pairs.where(F.col("shared") >= least * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9), members)
 
 
 def inherited_ids(groups: DataFrame, prior: DataFrame, group: str, member: str, prior_id: str) -> DataFrame:
