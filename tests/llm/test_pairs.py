@@ -140,6 +140,18 @@ def test_fingerprints(documents):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def test_fingerprints_of_frequent_words(spark):
+    """Samples of counts from 1 to 400: unbiased, and one logarithm for a word that stands once."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(w for k in range(40) for w in [f"w{k}"] * int(rng.integers(1, 4) ** rng.integers(0, 6))) for _ in range(40)]
+    got = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples=256).collect()
+    by = {r["doc_id"]: r for r in got}
+    errors = [by[i]["near_next"] - generalised_jaccard(weights(texts[i]), weights(texts[(i - 1) % 40])) for i in by]
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.04
+    always = re.sub(r"case when.*? end", "", str(fingerprints.sample(0)._jc.toString()), flags=re.I | re.S)
+    assert len(re.findall(r"\bln\(", always, re.I)) == 1
+
+
 def test_fingerprints_of_awkward_rows(awkward, nothing):
     got = fingerprints.fingerprints(awkward).collect()
     assert len(got) == awkward.count()

@@ -1,16 +1,19 @@
 """Document fingerprints (operator 2), in DataFrame functions only.
 
 Method: consistent weighted sampling. A document is the weighted set of its words (runs of characters
-other than ASCII white space, in lower case) with their counts w. For each of ``samples`` slots and
-each word, Gamma(2, 1) variates r and c and a uniform b come from hashes of word and slot; with
+other than ASCII white space, in lower case) with their counts n. For each of ``samples`` slots and
+each word, uniform numbers v1, v2 and a Gamma(2, 1) variate c come from hashes of word and slot. With
+r = -ln(v1 v2), a Gamma(2, 1) variate, and b = ln v2 / ln(v1 v2), uniform and independent of r,
 
-    t = floor(ln w / r + b),  ln y = r (t - b),  ln a = ln c - ln y - r
+    t = floor(ln n / r + b),  y = exp(r (t - b)),  a = c / (y exp(r)) = c v1 (v1 v2)^t
 
-the slot's sample is (word, t) of the smallest ln a. Two documents have equal samples in a slot with a
-chance of sum(min) / sum(max) of their weights, the generalised Jaccard similarity.
+the slot's sample is (word, t) of the smallest a. Two documents have equal samples in a slot with a
+chance of sum(min) / sum(max) of their counts, the generalised Jaccard similarity. Where n v1 < 1, and so
+for every word that stands once, t is 0: one logarithm, that of c, gives its a.
 
-ln a as a fixed-point number stands in the upper 32 bits of a long, and 31 bits of the sample's
-identity below, so a slot is a plain minimum of longs: hash aggregation in generated code.
+The fourth root of a as a fixed-point number stands in the upper 32 bits of a long, and 31 bits of the word
+below, so a slot is a plain minimum of longs: hash aggregation in generated code. Of one word and slot, a
+tells t, so equal longs are equal samples; both parts go into what is printed.
 
 The text goes through one shuffle, by ranges of its order (id, hash of the text, row). The ranges' bounds
 are quantiles of a bounded sample, so any distribution of ids, rows without an id and repeated rows
@@ -39,22 +42,21 @@ _MASK31, _MASK32 = (1 << 31) - 1, (1 << 32) - 1
 
 
 def sample(slot: int) -> Column:
-    """The entry of a row's word (of ln weight ln_n) for one slot: ln a in fixed point above, the identity of (word, t) below.
+    """The entry of a row's word (n times) for one slot: the fourth root of a in fixed point above, the word below.
 
     A SQL text, since some thousand column objects would take the driver ten seconds.
     """
 
-    def uniform(bits: str, width: int) -> str:
-        return f"((({bits}) + 0.5D) / {1 << width}D)"
+    def uniform(bits: str) -> str:
+        return f"((({bits}) + 0.5D) / {1 << 32}D)"
 
     first, second = f"xxhash64(word, {2 * slot})", f"xxhash64(word, {2 * slot + 1})"
-    u1, u2 = uniform(f"{first} & {(1 << 20) - 1}", 20), uniform(f"shiftrightunsigned({first}, 44)", 20)
-    b = uniform(f"shiftrightunsigned({first}, 20) & {(1 << 24) - 1}", 24)
-    u3, u4 = uniform(f"{second} & {_MASK32}", 32), uniform(f"shiftrightunsigned({second}, 32)", 32)
-    r = f"(-ln({u1} * {u2}))"
-    t = f"floor(ln_n / {r} + {b})"
-    ln_a = f"ln(-ln({u3} * {u4})) - {r} * ({t} - {b} + 1D)"
-    return F.expr(f"shiftleft(bigint(({ln_a} + 128D) * {1 << 24}D), 31) | ((word ^ ({t} * 2654435761)) & {_MASK31})")
+    v1, v2 = uniform(f"{first} & {_MASK32}"), uniform(f"shiftrightunsigned({first}, 32)")
+    u1, u2 = uniform(f"{second} & {_MASK32}"), uniform(f"shiftrightunsigned({second}, 32)")
+    t = f"floor(-ln(n / {v2}) / ln({v1} * {v2}))"
+    further = f"CASE WHEN n * {v1} < 1D THEN 1D ELSE pow({v1} * {v2}, {t}) END"
+    a = f"-ln({u1} * {u2}) * {v1} * {further}"
+    return F.expr(f"shiftleft(bigint(sqrt(sqrt({a})) * {1 << 30}D), 31) | (word & {_MASK31})")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def _fingerprinted(texts: DataFrame, samples: int) -> DataFrame:
     """rng, key, slots array<long> for each (rng, key, text) that has words."""
     words = texts.select("rng", "key", F.explode(F.split(F.lower("text"), _WORDS)).alias("word")).where("word != ''")
     counted = words.groupBy("rng", "key", F.xxhash64("word").alias("word")).agg(F.count("*").alias("n"))
-    counted = counted.select("rng", "key", "word", F.ln(F.col("n").cast("double")).alias("ln_n"))
+    counted = counted.select("rng", "key", "word", F.col("n").cast("double").alias("n"))
     slots = [F.min(sample(k)).alias(f"s{k}") for k in range(samples)]
     return counted.groupBy("rng", "key").agg(*slots).select("rng", "key", F.array(*[f"s{k}" for k in range(samples)]).alias("slots"))
 
@@ -126,8 +128,8 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
 
 
 def printed(slots: Column) -> Column:
-    """The samples' identities, eight hexadecimal digits each; the empty string for a text without words."""
-    digits = F.transform(slots, lambda s: F.lpad(F.hex(s.bitwiseAND(F.lit(_MASK31))), 8, "0"))
+    """The samples, both parts folded into eight hexadecimal digits each; the empty string for a text without words."""
+    digits = F.transform(slots, lambda s: F.lpad(F.hex(s.bitwiseXOR(F.shiftright(s, 31)).bitwiseAND(F.lit(_MASK31))), 8, "0"))
     return F.coalesce(F.lower(F.array_join(digits, "")), F.lit(""))
 
 
